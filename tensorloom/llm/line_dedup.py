@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         keyed.join(held.drop("last"), ["k1", "k2"])
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id")
-        .agg(F.collect_list("pos").alias("lost"))
+        .agg(F.collect_set("pos").alias("lost"))
     )
     lines_of = F.split("text", "\n", -1)
     return (

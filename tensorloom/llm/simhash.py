@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from ..workers import map_arrow, ship
 from ._common import stage
 from .components import components
+from .tokens import slices
 
 SEED = 42
 #: Members of a bucket above which it is dealt out by pairs of parts.
@@ -98,13 +98,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
         return pa.RecordBatch.from_arrays([ids, *(pa.array(out[:, j].view(np.int64)) for j in range(words))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(size) // batch_chars
-            for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(part)) + 1):
-                if len(at):
-                    some = batch.slice(at[0], len(at))
-                    yield made(some.column("doc_id"), some.column("text").to_pylist())
+        for batch in slices(batches, "text", batch_chars):
+            yield made(batch.column("doc_id"), batch.column("text").to_pylist())
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     return map_arrow(own, run, "doc_id long, " + ", ".join(f"{f} long" for f in fields))

@@ -7,11 +7,11 @@ chunks, and a Merkle root over them lets a reader verify what it puts together.
 Files below the store's folder (Parquet, so any reader of the cluster's file
 system opens them):
 
-* ``chunks``   digest binary(16), n int, ids binary: the ids as little-endian
+* ``rows/kind=chunk``  digest binary(16), n int, ids binary: the ids as little-endian
   unsigned integers of ``width`` bytes.  Each digest once.
-* ``recipes``  doc_id, start, n_tokens, root binary(32), chunks binary (the
-  digests one after another), in ascending doc_id order: part files cover ranges
-  of doc_id that do not overlap, and rows ascend inside each.
+* ``recipes``  doc_id, copy, n_tokens, root binary(32), chunks binary (the digests
+  one after another), in ascending doc_id order: part files cover ranges of doc_id
+  that do not overlap, and rows ascend inside each.
 * ``manifest`` one row: documents, tokens, chunks, width, root (Merkle root over
   the recipe files' roots).
 
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
+from .tokens import slices
 
 END_ID = 2
 #: Ids that the rolling hash sees, the mean chunk, and the largest.
@@ -201,12 +202,8 @@ def chunked(path: str, end_id: int, width: int, batch_bytes: int) -> Callable[[I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(path), set()
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(size) // batch_bytes
-            for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(part)) + 1):
-                if len(at):
-                    yield from encoded(encoder, seen, batch.slice(at[0], len(at)))
+        for batch in slices(batches, "text", batch_bytes):
+            yield from encoded(encoder, seen, batch)
 
     def encoded(encoder: Encoder, seen: set, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, counts = encoder.encode(batch.column("text"))
@@ -241,19 +238,20 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     """Writes the store of docs (doc_id, text; other columns are ignored) into ``folder``.
 
     A null or empty text is the end id alone.  ``width`` bytes hold an id (2 for
-    vocabularies up to 65,536, else 4).  Rows with a null doc_id are left out; a
-    doc_id must be unique.  An empty table gives a store without documents.
+    vocabularies up to 65,536, else 4).  Rows with a null doc_id are left out; rows
+    that repeat a doc_id are documents of their own, numbered by ``copy`` from 1.
+    An empty table gives a store without documents.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     rows = map_arrow(own, chunked(tokenizer, end_id, width, batch_bytes), ROW_DDL)
     key = F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id"))
     parts = rows.repartition(F.pmod(key, F.lit(1 << 30)))
-    first = F.row_number().over(Window.partitionBy(F.pmod(key, F.lit(1 << 30)), "digest", "doc_id").orderBy("kind"))
-    once = parts.withColumn("copy", first).where("copy = 1").drop("copy")
+    copy = F.row_number().over(Window.partitionBy(F.pmod(key, F.lit(1 << 30)), "digest", "doc_id").orderBy("root"))
+    once = parts.withColumn("copy", copy).where("copy = 1 or kind = 'recipe'")
     once.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/rows")
-    saved = spark.read.schema(ROW_DDL).parquet(f"{folder}/rows")
-    recipes = saved.where("kind = 'recipe'").select("doc_id", "n_tokens", "root", F.col("ids").alias("chunks")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    saved = spark.read.schema(f"{ROW_DDL}, copy int").parquet(f"{folder}/rows")
+    recipes = saved.where("kind = 'recipe'").select("doc_id", "copy", "n_tokens", "root", F.col("ids").alias("chunks")).repartitionByRange("doc_id", "copy").sortWithinPartitions("doc_id", "copy")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     parts = recipe_parts(spark, folder).collect()  # a row for each part file
@@ -272,10 +270,10 @@ def recipe_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, root, chunks (digests one after another)."""
+    """doc_id, copy, start (ids of all documents before it), n_tokens, root, chunks (digests one after another)."""
     before = recipe_parts(spark, folder).select("part", "before")
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spark.read.parquet(f"{folder}/recipes").withColumn("inside", inside).join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks")
+    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spark.read.parquet(f"{folder}/recipes").withColumn("inside", inside).join(before, "part").select("doc_id", "copy", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks")
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -331,7 +329,7 @@ def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crc, after = batch.column("crc").to_numpy(), batch.column("after").to_numpy()
         share = np.concatenate([crc_shift(crc[i : i + 65_536], after[i : i + 65_536]) for i in range(0, len(crc), 65_536)]) if len(crc) else crc
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share.astype(np.int64)), batch.column("n"), batch.column("leaf")], names=["doc_id", "share", "n", "leaf"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(share.astype(np.int64)), batch.column("n"), batch.column("copy")], names=["doc_id", "share", "n", "copy"])
 
 
 def _chunk_refs(recipes: DataFrame) -> DataFrame:
@@ -339,11 +337,11 @@ def _chunk_refs(recipes: DataFrame) -> DataFrame:
     count = (F.length("chunks") / DIGEST).cast("int")
     one: Callable[[Column], Column] = lambda i: F.substring(F.col("chunks"), i * DIGEST + 1, F.lit(DIGEST))
     listed = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), one))
-    return recipes.select("doc_id", F.posexplode(listed).alias("seq", "digest"))
+    return recipes.select("doc_id", "copy", F.posexplode(listed).alias("seq", "digest"))
 
 
 def verify(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
-    """Reads the files back: doc_id, start, n_tokens, ids_crc32.
+    """Reads the files back: doc_id, start, n_tokens, ids_crc32, copy.
 
     ids_crc32 is the unsigned crc32 of the document's ids as little-endian 32-bit
     integers.  Each stored chunk is read once, held against its digest, and its
@@ -354,19 +352,19 @@ def verify(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     recipes = read_recipes(spark, folder)
     known = map_arrow(read_chunks(spark, folder), digests_of(width), "digest binary, n int, crc long")
     refs = _chunk_refs(recipes).join(known, "digest", "left")
-    behind = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 4
-    shares = refs.select("doc_id", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "n", behind.cast("long").alias("after"), F.lit(0).alias("leaf"))
-    summed = map_arrow(shares, shifted, "doc_id long, share long, n int, leaf int").groupBy("doc_id").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("found"))
+    behind = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "copy").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 4
+    shares = refs.select("doc_id", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "n", behind.cast("long").alias("after"), "copy")
+    summed = map_arrow(shares, shifted, "doc_id long, share long, n int, copy int").groupBy("doc_id", "copy").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("found"))
     checked = F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document's chunks do not add up")).cast("long"))
-    return recipes.select("doc_id", "start", "n_tokens").join(summed, "doc_id", "left").select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"))
+    return recipes.select("doc_id", "copy", "start", "n_tokens").join(summed, ["doc_id", "copy"], "left").select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"), "copy")
 
 
 def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """doc_id and ids (array<int>): documents put together from their chunks, Merkle roots verified."""
     recipes = read_recipes(spark, folder)
     refs = _chunk_refs(recipes).join(read_chunks(spark, folder), "digest", "left")
-    whole = refs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "ids"))).alias("parts"))
-    joined = recipes.join(whole, "doc_id").select("doc_id", "root", "n_tokens", F.col("parts.digest").alias("digests"), F.col("parts.ids").alias("data"))
+    whole = refs.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "ids"))).alias("parts"))
+    joined = recipes.join(whole, ["doc_id", "copy"]).select("doc_id", "root", "n_tokens", F.col("parts.digest").alias("digests"), F.col("parts.ids").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
