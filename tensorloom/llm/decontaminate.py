@@ -27,10 +27,14 @@ def plain_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def window_hashes(hashes: Column, n: int) -> Column:
-    """xxhash64 of each n successive elements; fewer elements than n: none."""
+def window_keys(hashes: Column, n: int) -> Column:
+    """A key for each n successive elements: the hash of four of them, the first and the last among them; fewer elements: none.
+
+    Whole windows are compared afterwards, so four words only have to make that rare.
+    """
+    places = sorted({0, n // 3, (2 * n) // 3, n - 1})
     return F.when(F.size(hashes) < n, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, n)))
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + p) for p in places]))
     )
 
 
@@ -42,10 +46,15 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return (
         windows.groupBy("n", F.array_join("win", " ").alias("words"))
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .withColumn("hash", F.xxhash64(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))))
+        .withColumn("hash", _key_of(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)), width))
     )
 
 
+def _key_of(hashes: Column, width: int) -> Column:
+    """The key of a window of its own length."""
+    return F.coalesce(*[F.when(F.size(hashes) == n, F.get(window_keys(hashes, n), F.lit(0))) for n in range(1, width + 1)])
+
+
 def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, pos (0-based word), n, items: every place where a document has an item's window."""
     windows = item_windows(benchmark, width).cache()
@@ -54,14 +63,17 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_w
     if not sizes:
         return none
     words = docs.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    own = F.flatten(F.array(*[_placed(F.col("hashes"), n) for n in sorted(sizes)]))
-    at = words.select("doc_id", "words", F.explode(own).alias("at"))
+    # A row for each length that windows have, then a row for each window: its key and place alone, with the words beside it unread.
+    per_length = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), window_keys(F.col("hashes"), n).alias("keys")) for n in sorted(sizes)]))
+    at = words.select("doc_id", "words", per_length.alias("own")).select("doc_id", "words", F.col("own.n").alias("n"), F.posexplode("own.keys").alias("pos", "key"))
     hits, blocks = none, -(-sum(sizes.values()) // max_windows)
     for block in range(blocks):
         known = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).select("hash", F.col("n").alias("width"), F.col("words").alias("known"), "items")
-        same = (F.col("at.hash") == F.col("hash")) & (F.col("at.n") == F.col("width"))
-        verified = F.array_join(F.slice("words", F.col("at.pos") + 1, F.col("at.n")), " ") == F.col("known")
-        found = at.join(F.broadcast(known), same & verified).select("doc_id", "at.pos", "at.n", "items")
+        same = (F.col("key") == F.col("hash")) & (F.col("n") == F.col("width"))
+        # An equality would become a key of the join, and be worked out for every window; this is a condition on matches.
+        own = F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ")
+        verified = F.startswith(own, F.col("known")) & F.startswith(F.col("known"), own)
+        found = at.join(F.broadcast(known), same & verified).select("doc_id", "pos", "n", "items")
         hits = hits.unionByName(found) if block else found
     return hits
 
@@ -98,10 +110,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     )
 
 
-def _placed(hashes: Column, n: int) -> Column:
-    return F.transform(window_hashes(hashes, n), lambda h, i: F.struct(i.alias("pos"), F.lit(n).alias("n"), h.alias("hash")))
-
-
 def _merged(at: Column) -> Column:
     """Spans apart from each other, of sorted (pos, n)."""
 
