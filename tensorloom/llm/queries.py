@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import kneser_ney, line_dedup, mixing, quality_rules, simhash, token_store
+from . import katz, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_store
 from ._common import shared_dir
 
 
@@ -49,6 +49,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
+    "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
