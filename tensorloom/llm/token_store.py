@@ -76,33 +76,39 @@ class Encoder:
     whole.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20, together: int = 8192) -> None:
-        """most: pieces kept with their ids from batch to batch, some 60 bytes each; then all are forgotten."""
+    def __init__(self, path: str, most: int = 3 << 17, together: int = 1024) -> None:
+        """most: pieces kept with their ids from batch to batch, some 60 bytes each; then those are forgotten that few batches had."""
         self.tokenizer, self.bytes, self.most, self.together = load_tokenizer(path), token_bytes(path), most, together
-        self.forget()
+        self.known = pa.array([], pa.large_string())
+        self.pool, self.begin, self.n, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.pool, self.begin, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keeps the half of the allowed pieces that most batches had, of those that two had at least."""
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+        kept = kept[self.hits[kept] > 1]
+        n = self.n[kept]
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.begin[kept] - (ends - n), n) + np.arange(n.sum())]
+        self.known, self.begin, self.n, self.hits = self.known.take(pa.array(kept)), ends - n, n, self.hits[kept] // 2
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.uint32) for i in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
 
     def pieces(self, values: pa.Array) -> np.ndarray:
         """Where among the known pieces each of these distinct ones stands; new ones are encoded and added."""
+        if len(self.known) + len(values) > self.most:
+            self.forget()
         found = pc.index_in(values, self.known)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
         if found.null_count:
-            if len(self.known) + found.null_count > self.most and len(self.known):
-                self.forget()
-                return self.pieces(values)
-            pool, begin, n = self.encoded(new := values.filter(found.is_null()))
+            new = values.filter(found.is_null())
+            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            pool, begin, n = self.encoded(new)
             self.begin = np.concatenate([self.begin, begin + len(self.pool)])
-            self.pool, self.n = np.concatenate([self.pool, pool]), np.concatenate([self.n, n])
-            at = found.to_numpy(zero_copy_only=False).astype(np.float64)
-            at[np.isnan(at)] = np.arange(len(self.known), len(self.known) + len(new))
+            self.pool, self.n, self.hits = np.concatenate([self.pool, pool]), np.concatenate([self.n, n]), np.concatenate([self.hits, np.zeros(len(new), np.int32)])
             self.known = pa.concat_arrays([self.known, new])
-            return at.astype(np.int64)
-        return found.to_numpy().astype(np.int64)
+        self.hits[at] += 1
+        return at
 
     def encoded(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where in it each distinct piece begins and how many it has."""
@@ -234,7 +240,7 @@ def chunked(path: str, end_id: int, width: int, batch_bytes: int) -> Callable[[I
     return run
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2, batch_bytes: int = 8 << 20) -> None:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, width: int = 2, batch_bytes: int = 4 << 20) -> None:
     """Writes the store of docs (doc_id, text; other columns are ignored) into ``folder``.
 
     A null or empty text is the end id alone.  ``width`` bytes hold an id (2 for
