@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import katz, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_store
+from . import katz, kneser_ney, line_dedup, mixing, quality_rules, repeats, simhash, token_store
 from ._common import shared_dir
 
 
@@ -49,6 +49,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
+    "op8_repeats": op8_repeats,
     "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
 }
