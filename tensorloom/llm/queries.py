@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import katz, kneser_ney, line_dedup, mixing, quality_rules, repeats, simhash, token_store
+from . import katz, kneser_ney, licenses, line_dedup, mixing, quality_rules, repeats, simhash, token_store
 from ._common import shared_dir
 
 
@@ -38,6 +38,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path of their own: theirs is /source/lang/doc_id.txt."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.col("doc_id"), F.lit(".txt"))
+    return licenses.scan(docs.select("doc_id", place.alias("path"), "text"), "doc_id").select(
+        "doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license", F.col("source").alias("license_source"), "licensed_by"
+    )
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_licenses": op5_licenses,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
     "op8_repeats": op8_repeats,
