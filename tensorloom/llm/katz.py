@@ -62,8 +62,22 @@ def discounted(counts: np.ndarray, of_counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= GOOD_TURING, worth[np.minimum(counts, GOOD_TURING)], counts - (GOOD_TURING - worth[GOOD_TURING]))
 
 
-def word_keys(words: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.asarray(words.to_pylist(), dtype=object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def pack_words(words: pa.Array) -> bytes:
+    """Words have no space, so spaces part them; as text they take half the bytes of their keys."""
+    joined = " ".join(words.to_pylist()).encode()
+    return len(joined).to_bytes(8, "little") + (_ZSTD.compress(joined, asbytes=True) if joined else b"")
+
+
+def unpack_words(data: bytes) -> list[str]:
+    size = int.from_bytes(data[:8], "little")
+    return _ZSTD.decompress(data[8:], decompressed_size=size, asbytes=True).decode().split(" ") if size else []
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -74,7 +88,7 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def to_blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents to blocks: ids, words of each, keys of the distinct words, and the words as indexes, the most frequent first."""
+    """Documents to blocks: ids, numbers of words, the distinct words, and the words as indexes, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
@@ -83,8 +97,7 @@ def to_blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
-            keys = word_keys(words)[order]
-            out = [first + number, pack(batch.column("doc_id").to_numpy()), pack(counts.astype("<u4")), pack(keys), pack(rank[index].astype("<u4")), int(counts.sum())]
+            out = [first + number, pack(batch.column("doc_id").to_numpy()), pack(counts.astype("<u4")), pack_words(words.take(pa.array(order))), pack(rank[index].astype("<u4")), int(counts.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["block", "ids", "counts", "words", "tokens", "n"])
 
     return run
@@ -96,7 +109,7 @@ class Block:
     def __init__(self, ids: bytes, counts: bytes, words: bytes, tokens: bytes) -> None:
         self.ids = unpack(ids)
         n = unpack(counts).astype(np.int64)
-        keys = unpack(words)
+        keys = word_keys(unpack_words(words))
         self.size = len(keys) + 2
         end, start = len(keys), len(keys) + 1
         self.keys = np.concatenate([keys, np.array([END_KEY, START_KEY])])
