@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..workers import map_arrow, ship
 from ._common import stage
-from .packed import pack, unpack
+from .packed import pack, pack_words, unpack, unpack_words
 from .tokens import batch_words, slices
 
 #: Keys of the end and of the start of a text; words are hashed to 64 bits.
@@ -62,24 +62,10 @@ def discounted(counts: np.ndarray, of_counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= GOOD_TURING, worth[np.minimum(counts, GOOD_TURING)], counts - (GOOD_TURING - worth[GOOD_TURING]))
 
 
-_ZSTD = pa.Codec("zstd", compression_level=3)
-
-
 def word_keys(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.asarray(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
 
 
-def pack_words(words: pa.Array) -> bytes:
-    """Words have no space, so spaces part them; as text they take half the bytes of their keys."""
-    joined = " ".join(words.to_pylist()).encode()
-    return len(joined).to_bytes(8, "little") + (_ZSTD.compress(joined, asbytes=True) if joined else b"")
-
-
-def unpack_words(data: bytes) -> list[str]:
-    size = int.from_bytes(data[:8], "little")
-    return _ZSTD.decompress(data[8:], decompressed_size=size, asbytes=True).decode().split(" ") if size else []
-
-
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     x = first * np.uint64(0x9E3779B97F4A7C15) + second
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
