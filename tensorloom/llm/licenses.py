@@ -58,9 +58,10 @@ class Vectors:
             vector = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
             self.rows += [(i, name, t, x / norm) for t, x in vector.items()]
-            # Rarest first: once what is left is shorter than the threshold, a match must hold one of these.
+            # Once what is left is shorter than the threshold, a match must hold one of the terms before, in whatever
+            # order; long ones come first, as they are rare in other texts.
             left = norm * norm
-            for t, x in sorted(vector.items(), key=lambda v: (-v[1], v[0])):
+            for t, x in sorted(vector.items(), key=lambda v: (-len(v[0]), -v[1], v[0])):
                 if math.sqrt(max(left, 0)) < threshold * norm * (1 - 1e-9):
                     break
                 self.needed.add(t)
@@ -82,7 +83,7 @@ def own_licenses(files: DataFrame, key: str, templates: tuple[tuple[str, str], .
     """
     vectors = Vectors(templates, threshold)
     needed = sorted(vectors.needed)
-    pattern = "(?i)(" + "|".join(re.escape(t) for t in needed) + ")"
+    pattern = r"(?i)\b(" + "|".join(re.escape(t) for t in needed) + r")\b"
     hold = F.array(*map(F.lit, needed))
     text = F.coalesce(F.col("text"), F.lit(""))
     some = files.where(text.rlike(pattern)).select(key, F.posexplode(passages(text)).alias("passage", "part"))
