@@ -222,7 +222,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, most: int = 3, blocks: int
     nodes = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first")))
     keys = [block_key(F.col("node"), i, parts) for i, parts in enumerate(pigeonholes(64, most, blocks))]
     reach = components(near_links(nodes, keys, ["node"], most, hot)).withColumnRenamed("node", "of")
-    named = nodes.join(reach, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.join(reach.hint("merge"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(named.select("node", "root").join(least, "root").drop("root"), "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
 
@@ -352,5 +352,5 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, memb
     ship(docs.sparkSession)
     edges = placed.join(sets, "node").groupBy("root", "pair").applyInPandas(jaccard_links(similarity), "a long, b long")
     reach = components(edges).withColumnRenamed("node", "of")
-    named = nodes.select("print", "node").join(reach, F.col("node") == F.col("of"), "left").select("print", F.coalesce("root", "node").alias("component_id"))
+    named = nodes.select("print", "node").join(reach.hint("merge"), F.col("node") == F.col("of"), "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "print").join(named, "print").select("doc_id", "component_id")

@@ -60,9 +60,10 @@ def test_close_fingerprints(spark):
         assert {n: got.get(n, n) for n in node} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     path = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 400), (500, 500), (None, 3)] + [(1000, 1000 + i) for i in range(1, 50)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long"), small=small).collect()}
     want = classes({x for p in path if None not in p for x in p}, [p for p in path if None not in p])
     assert got == want
 
