@@ -251,7 +251,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     rows = map_arrow(own, chunked(tokenizer, end_id, width, batch_bytes), ROW_DDL)
-    key = F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id"))
+    key = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id"))  # a hash of null is a number, not null
     parts = rows.repartition(F.pmod(key, F.lit(1 << 30)))
     copy = F.row_number().over(Window.partitionBy(F.pmod(key, F.lit(1 << 30)), "digest", "doc_id").orderBy("root"))
     once = parts.withColumn("copy", copy).where("copy = 1 or kind = 'recipe'")
