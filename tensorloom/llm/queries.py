@@ -70,6 +70,51 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL) s),
+keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_SPACES})")} AS key FROM lines),
+held AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+judged AS (SELECT k.*, h.keeper IS NOT NULL AND h.keeper <> k.doc_id AS lost FROM keyed k LEFT JOIN held h ON h.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN lost THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
+
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, source, {_WORDS} AS words FROM documents WHERE doc_id IS NOT NULL),
+windows AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + 8], ' ') AS win FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 7, 0))) AS i FROM docs) w),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) q WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice CROSS JOIN range(8) r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, coalesce(source, chr(0)) AS host, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE trim(line, {_SPACES}) <> '' GROUP BY doc_id),
+keyed AS (SELECT doc_id, host, {_LOWER.format(f"trim(line, {_SPACES})")} AS key FROM lines),
+long AS (SELECT doc_id, host, key, len(regexp_extract_all(key, '[^\\x20\\x09-\\x0D]+')) AS n FROM keyed WHERE length(key) >= 10),
+hosts AS (SELECT coalesce(source, chr(0)) AS host, count(*) AS host_docs FROM docs GROUP BY 1),
+common AS (SELECT l.host, l.key FROM (SELECT host, key, count(DISTINCT doc_id) AS holders FROM long GROUP BY host, key) l JOIN hosts h ON h.host = l.host WHERE l.holders > 20 AND l.holders > 0.002 * h.host_docs),
+lost AS (SELECT l.doc_id, sum(l.n) AS lost_words FROM long l JOIN common c ON c.host = l.host AND c.key = l.key GROUP BY l.doc_id),
+base AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words
+  FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN dups u ON u.doc_id = d.doc_id LEFT JOIN lost t ON t.doc_id = d.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_words <= 0.5 * n_words AND n_words - lost_words >= 20 AS kept FROM base"""
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item, n, array_to_string(words[i + 1 : i + n], ' ') AS win FROM (SELECT item, words, n, unnest(range(len(words) - n + 1)) AS i FROM (SELECT *, least(len(words), 13) AS n FROM items WHERE len(words) > 0) a) b),
+places AS (SELECT d.doc_id, n, unnest(range(greatest(len(words) - n + 1, 0))) AS i, words FROM docs d CROSS JOIN (SELECT DISTINCT n FROM wins) s),
+hits AS (SELECT a.doc_id, a.i, a.n, w.item FROM (SELECT doc_id, n, i, array_to_string(words[i + 1 : i + n], ' ') AS win FROM places) a JOIN wins w ON w.n = a.n AND w.win = a.win),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits CROSS JOIN range(13) r(k) WHERE k < n GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) q GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_simhash": op2_simhash,
@@ -82,4 +127,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL}
