@@ -66,3 +66,56 @@ def test_inheritance(spark):
         10: ("Apache-2.0", "own", None),
     }
     assert licenses.scan(df.where("false"), "id").count() == 0
+
+
+GPL = """# Copyright (C) 2019 Jane Roe
+#
+# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU {1}General Public License as published by
+# the Free Software Foundation{2} version {3} of the License{4}.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU {1}General Public License for more details.
+"""
+LATER = ", or\n# (at your option) any later version"
+HEADERS = [
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
+    ("Apache-2.0", "// Copyright 2020 Foo. Licensed under the Apache License, Version 2.0."),
+    ("GPL-2.0", GPL.format(";", "", ";", 2, "")),
+    ("GPL-2.0-or-later", GPL.format(";", "", "; either", 2, LATER)),
+    ("GPL-3.0", GPL.format(":", "", ",", 3, "")),
+    ("GPL-3.0-or-later", GPL.format(":", "", ", either", 3, LATER)),
+    ("AGPL-3.0-or-later", GPL.format(":", "Affero ", ", either", 3, LATER)),
+    ("LGPL-2.1-or-later", GPL.format(";", "Lesser ", "; either", 2.1, LATER)),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;\n"),
+    ("Apache-2.0", "# Copyright 2017 The Authors. All Rights Reserved.\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS.\nimport os\n"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("BSD-2-Clause", "// SPDX-License-Identifier: BSD-2-Clause"),
+    ("GPL-2.0-or-later", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+    ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0"),
+    (None, "mit"),
+    (None, "The licensed driver waited under the bridge, and nobody had a copy of the map."),
+    (None, "You need a license to fish in this lake."),
+]
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HEADERS)], "id long, text string")
+    got = {r.id: r.license for r in licenses.own_licenses(df, "id").collect()}
+    assert {i: (got.get(i), w) for i, (w, _) in enumerate(HEADERS) if got.get(i) != w} == {}
+
+
+def test_license_files(spark):
+    """Whole files, with a holder's line before them, and as a comment before code."""
+    full = dict(licenses.full_texts())
+    assert {"Apache-2.0", "MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC", "0BSD", "Unlicense", "Zlib"} <= set(full)
+    rows = [(f"{n} file", f"Copyright (c) 2011-2020, Jane Roe and the Example contributors\nAll rights reserved.\n\n{t}") for n, t in full.items()]
+    rows += [(f"{n} comment", "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\n" + "int some_name(void) { return other(1); }\n" * 300) for n, t in full.items()]
+    rows += [(f"{n} bare", "/*\n" + t + "\n*/\n" + "int some_name(void) { return other(1); }\n" * 300) for n, t in full.items() if "*/" not in t]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: r.license for r in licenses.own_licenses(df, "id").collect()}
+    assert {k: got.get(k) for k, _ in rows if got.get(k) != k.split(" ")[0]} == {}
