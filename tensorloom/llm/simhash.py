@@ -119,15 +119,21 @@ def block_key(column: Column, which: int, parts: list[tuple[int, int]]) -> Colum
     return key.bitwiseOR(F.lit(which << 48))
 
 
-def linked(most: int, words: int, small: int = 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def linked(most: int | None, words: int, small: int = 16, similarity: float = 0.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows in bucket order (bucket, one, node, c0, ...) to links a, b of at most ``most`` differing bits that span each bucket's groups.
 
     With a null ``one`` all members compare; in buckets that were dealt out, ``one``
-    tells the part, and both parts compare.
+    tells the part, and both parts compare.  Without ``most`` the last word is the
+    size of a set and the others are its parity bits (see ``set_prints``): links are
+    those that may have the similarity.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if most is None:
+            m, n = x[..., -1].astype(np.int64), y[..., -1].astype(np.int64)
+            apart = np.bitwise_count(x[..., :-1] ^ y[..., :-1]).sum(axis=-1, dtype=np.int64)
+            return (apart <= apart_at_most(m + n, similarity)) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9)
         return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= most
 
     def spanned(node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +211,10 @@ def near_links(nodes: DataFrame, keys: list[Column], checks: list[str], most: in
     return matched(nodes.select("node", *[F.col(x).alias(f"c{j}") for j, x in enumerate(checks)], F.explode(F.array(*keys)).alias("bucket")), len(checks), most, hot)
 
 
-def matched(rows: DataFrame, words: int, most: int, hot: int) -> DataFrame:
-    """a, b from rows of bucket, node, c0, ...: links of at most ``most`` differing bits inside buckets."""
+def matched(rows: DataFrame, words: int, most: int | None, hot: int, similarity: float = 0.0) -> DataFrame:
+    """a, b from rows of bucket, node, c0, ...: links of at most ``most`` differing bits (without: see ``linked``) inside buckets."""
     met = dealt(rows, hot).repartition("bucket").sortWithinPartitions("bucket")
-    return map_arrow(met, linked(most, words), "a long, b long")
+    return map_arrow(met, linked(most, words, similarity=similarity), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, most: int = 3, blocks: int = 5, hot: int = HOT) -> DataFrame:
@@ -230,21 +236,60 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, most: int = 3, blocks: int
 # Near copies by Jaccard similarity: wide fingerprints find the candidates, and the shingles decide.
 
 CHECKS = 2
+#: Sets of up to so many shingles are found without chance.
+SMALL = 256
+#: Words of parity bits.
+PARITY = 4
 
 
-def wide_blocks(rows: int, similarity: float, miss: float = 0.01, least_bits: int = 16) -> tuple[int, int]:
-    """Bits of a block and number of blocks.
+def wide_blocks(similarity: float, miss: float = 0.001, width: int = 16) -> tuple[int, int]:
+    """Bits of a block and number of blocks, whatever the table.
 
-    Sets of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of
-    their bits, so share a block of w bits with probability (1 - p)**w.  w grows with
-    the logarithm of the rows, so that unrelated documents seldom meet, and the
-    number of blocks with it, so that the chance to share none stays at ``miss``.
+    Large sets of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi
+    of their bits, so share a block of w bits with probability (1 - p)**w; there are
+    as many blocks as make the chance to share none ``miss``.  Small sets may differ
+    in more bits; these meet by their prefixes.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = max(least_bits, math.ceil(math.log2(max(rows, 1))) - 2)
     return width, math.ceil(math.log(miss) / math.log1p(-((1 - p) ** width)))
 
 
+def apart_at_most(sizes: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many elements may be in one of two sets only, for the sum of their sizes: (m + n)(1 - s) / (1 + s)."""
+    return np.floor(np.asarray(sizes) * ((1 - similarity) / (1 + similarity)) + 1e-9).astype(np.int64)
+
+
+def set_prints(docs: DataFrame, shingle: int, words: int, similarity: float, small: int, batch_chars: int = 4 << 20) -> DataFrame:
+    """doc_id, the fingerprint of the distinct shingles (f0, f1, ...), their number (size), parity bits (p0, ...) and prefix.
+
+    Of two sets of similarity s, each has a hash that both share among its
+    n - ceil(s n) + 1 smallest: its prefix.  Sets of up to ``small`` / s hashes have
+    one, so that each of up to ``small`` meets all that it may be similar to; others
+    have none.  Each hash flips one parity bit: sets differ in at least as many
+    hashes as in bits.
+    """
+    bits = 64 * PARITY
+    fields = [*(f"f{j}" for j in range(words)), "size", *(f"p{j}" for j in range(PARITY))]
+    schema = pa.schema([("doc_id", pa.int64()), *((f, pa.int64()) for f in fields), ("prefix", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", batch_chars):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+            prints = majority(sets, words)
+            parity = np.zeros((len(sets), PARITY), np.int64)
+            prefix: list = [[]] * len(sets)
+            for i, h in enumerate(sets):
+                if len(h) and len(h) * similarity <= small + 1e-9:
+                    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    parity[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                    prefix[i] = h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64)
+            size = np.array([len(h) for h in sets], np.int64)
+            longs = [*(prints[:, j].view(np.int64) for j in range(words)), size, *(np.ascontiguousarray(parity[:, j]) for j in range(PARITY))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, longs), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+
+    return map_arrow(docs, run, "doc_id long, " + ", ".join(f"{f} long" for f in fields) + ", prefix array<long>")
+
+
 def block_bits(first: int, end: int, width: int, blocks: int) -> np.ndarray:
     """(blocks, width) numbers of bits, from successive shuffles of first..end-1."""
     rng = np.random.default_rng(SEED)
@@ -324,9 +369,12 @@ def set_hashes(docs: DataFrame, shingle: int) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, members: int = 1024, hot: int = HOT) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) over pairs whose sets of shingles have at least that Jaccard similarity.
 
-    Fingerprints of 1024 bits over distinct shingles: pairs that share a block and
-    differ in at most a quarter of 128 bits are candidates (sets of similarity 0.8
-    differ in 15 %, unrelated ones in half), and only the documents of candidate
+    Pairs of which one has at most SMALL shingles are found for certain: they share a
+    hash of their prefixes, and their sizes and parity bits allow the similarity.
+    Larger ones go by fingerprints of 1024 bits over distinct shingles: pairs that
+    share a block and differ in at most a quarter of 128 bits are candidates (sets of
+    similarity 0.8 differ in 15 %, unrelated ones in half).  Blocks don't depend on
+    the table, so neither does what is found.  Only the documents of candidate
     groups have their shingles compared, in parts of at most ``members``, each two
     parts in a group of their own.  Copies (equal fingerprints and sizes) cost a row
     each.  Documents without words are copies of each other.  doc_id must be unique;
@@ -335,12 +383,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, memb
     """
     words = 16
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    prints = stage(fingerprints(own, shingle, words, distinct=True).withColumn("print", F.xxhash64(*[f"f{j}" for j in range(words)])))
-    # A node is a distinct fingerprint, named by its smallest document.
-    nodes = stage(prints.groupBy("print").agg(F.min("doc_id").alias("node"), *[F.first(f"f{j}").alias(f"f{j}") for j in range(words)]))
-    width, blocks = wide_blocks(nodes.count(), similarity)
-    rows = map_arrow(nodes, wide_rows(words, block_bits(64 * CHECKS, 64 * words, width, blocks)), "node long, c0 long, c1 long, bucket long")
-    families = components(matched(rows, CHECKS, 64 * CHECKS // 4, hot))
+    fields = [*(f"f{j}" for j in range(words)), "size"]
+    parity = [f"p{j}" for j in range(PARITY)]
+    prints = stage(set_prints(own, shingle, words, similarity, SMALL).withColumn("print", F.xxhash64(*fields, *parity, "prefix")))
+    # A node is a distinct set, as far as its prints tell, named by its smallest document.
+    nodes = stage(prints.groupBy("print").agg(F.min("doc_id").alias("node"), *[F.first(f).alias(f) for f in fields]))
+    small = prints.where(F.size("prefix") > 0).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sketch = [F.col(x).alias(f"c{j}") for j, x in enumerate([*parity, "size"])]
+    exact = matched(small.select(F.col("doc_id").alias("node"), *sketch, F.explode("prefix").alias("bucket")), PARITY + 1, None, hot, similarity)
+    width, blocks = wide_blocks(similarity)
+    large = nodes.where(F.col("size") > SMALL).select("node", *fields[:-1])
+    rows = map_arrow(large, wide_rows(words, block_bits(64 * CHECKS, 64 * words, width, blocks)), "node long, c0 long, c1 long, bucket long")
+    families = components(matched(rows, CHECKS, 64 * CHECKS // 4, hot).union(exact))
     families = stage(families)
     sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / members).cast("int")

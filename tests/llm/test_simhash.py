@@ -81,3 +81,24 @@ def test_near_copies(spark, nasty, members):
 def test_empty(nothing):
     assert simhash.simhash_groups(nothing).count() == 0
     assert simhash.near_copies(nothing).count() == 0
+
+
+def test_short_near_copies(spark):
+    """Pairs of similarity 0.8 and a little more, from 4 of 5 shingles to sizes on both sides of the bound: none is lost."""
+    rng = np.random.default_rng(7)
+    rows, pairs = [], []
+    for shared in [4] * 300 + [8, 12, 16, 20] * 40 + [200, 204, 208, 256] * 10:
+        words = [f"w{x}" for x in rng.integers(0, 10**9, shared + 4 + shared // 4)]
+        a = len(rows)
+        rows += [(a, " ".join(words[: shared + 4])), (a + 1, " ".join(words))]
+        pairs.append((a, a + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: set(shingles(t, 5)) for d, t in rows}
+    assert all(len(sets[a] & sets[b]) == 0.8 * len(sets[a] | sets[b]) for a, b in pairs)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    assert got == {x: a for a, b in pairs for x in (a, b)}
+
+
+def test_blocks_of_any_table():
+    width, blocks = simhash.wide_blocks(0.8)
+    assert (1 - (1 - 0.1515) ** width) ** blocks < 0.0011
