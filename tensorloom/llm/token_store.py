@@ -12,8 +12,8 @@ system opens them):
 * ``recipes``  doc_id, copy, n_tokens, root binary(32), chunks binary (the digests
   one after another), in ascending doc_id order: part files cover ranges of doc_id
   that do not overlap, and rows ascend inside each.
-* ``manifest`` one row: documents, tokens, chunks, width, root (Merkle root over
-  the recipe files' roots).
+* ``manifest`` one row: documents, tokens, width, root (Merkle root over the recipe
+  files' roots, each a hash tree over the file's recipes in order).
 
 Tokenizing happens once.  One shuffle by digest carries chunks (each at most once
 per task) and recipes together; only recipes, some 3 % of the ids, move again for
@@ -41,6 +41,8 @@ END_ID = 2
 #: Ids that the rolling hash sees, the mean chunk, and the largest.
 SPAN, MEAN, MOST = 16, 512, 4096
 DIGEST = 16
+#: Children of a node in the hash tree over a part file's recipes, and levels above the leaves: FAN**LEVELS recipes a part.
+FAN, LEVELS = 1024, 3
 #: Characters that a regular expression's \s may take for white space.
 BLANK = r"[\x00-\x20\x85\xa0\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -218,6 +220,8 @@ def chunked(path: str, end_id: int, width: int, batch_bytes: int) -> Callable[[I
         keep = np.ones(len(ids), bool)
         keep[ends - 1] = False
         ids[keep] = raw
+        if int(ids.max()) >> (8 * width):
+            raise ValueError(f"id {int(ids.max())} does not fit into {width} bytes")
         data = ids.astype(f"<u{width}").tobytes()
         bounds = cuts(ids, ends)
         digests, fresh = [], {k: [] for k in ("kind", "digest", "n", "ids")}
@@ -260,19 +264,51 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
     recipes = saved.where("kind = 'recipe'").select("doc_id", "copy", "n_tokens", "root", F.col("ids").alias("chunks")).repartitionByRange("doc_id", "copy").sortWithinPartitions("doc_id", "copy")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    parts = recipe_parts(spark, folder).collect()  # a row for each part file
-    manifest = [(sum(p.documents for p in parts), sum(p.tokens for p in parts), width, merkle([bytes(p.root) for p in parts]))]
-    spark.createDataFrame(manifest, "documents long, tokens long, width int, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+    documents, tokens, root = manifest_of(recipe_parts(spark, folder))
+    spark.createDataFrame([(documents, tokens, width, root)], "documents long, tokens long, width int, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
 
 
 def recipe_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """part, documents, tokens, before (tokens of the parts before it), root: a hash over the part's recipe roots in doc_id order."""
+    """part, documents, tokens, before (tokens of the parts before it), root: the part's hash tree over its recipes in doc_id order.
+
+    A leaf is a recipe's doc_id, copy, n_tokens and root; up to FAN nodes of a level
+    that stand together make one of the next, so no task gathers a whole part.
+    """
     rows = spark.read.parquet(f"{folder}/recipes")
-    # Per document 8 bytes of its root are enough here: the full roots stand in the recipes, and all of them enter the sums.
-    some = F.conv(F.hex(F.substring("root", 1, 7)), 16, 10).cast("decimal(20,0)")
-    per = rows.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(some).alias("sum"), F.max("doc_id").alias("last"))
-    root = F.unhex(F.sha2(F.concat_ws("|", "documents", "tokens", F.col("sum").cast("string"), "last"), 256))
-    return per.select("part", "documents", "tokens", root.alias("root"), F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")).orderBy("part")
+    leaf = F.sha2(F.concat_ws("|", F.lit("leaf"), "doc_id", "copy", "n_tokens", F.hex("root")), 256)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "copy")) - 1
+    level = rows.select("part", place.cast("long").alias("place"), leaf.alias("hash"), F.lit(1).cast("long").alias("documents"), "n_tokens")
+    for depth in range(LEVELS):
+        above = F.lit(0).cast("long") if depth == LEVELS - 1 else F.floor(F.col("place") / FAN)
+        nodes = F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"])
+        level = (
+            level.groupBy("part", above.alias("place"))
+            .agg(F.sha2(F.concat_ws("|", F.lit(f"level {depth}"), nodes), 256).alias("hash"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"))
+        )
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return level.select("part", "documents", F.col("n_tokens").alias("tokens"), F.unhex("hash").alias("root"), before.alias("before")).orderBy("part")
+
+
+def manifest_of(parts: DataFrame) -> tuple[int, int, bytes]:
+    """Documents, tokens and the Merkle root over the roots of the part files, of which each is a row here."""
+    rows = parts.collect()
+    return sum(r.documents for r in rows), sum(r.tokens for r in rows), merkle([bytes(r.root) for r in rows])
+
+
+def check_manifest(spark: SparkSession, folder: str, width: int) -> None:
+    """Raises unless the recipes as stored give the manifest's documents, tokens and root."""
+    said = spark.read.parquet(f"{folder}/manifest").first()
+    if (said.documents, said.tokens, bytes(said.root)) != manifest_of(recipe_parts(spark, folder)) or said.width != width:
+        raise ValueError("the recipes do not match the manifest")
+
+
+def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes as they are, each root held against the digests listed."""
+    for batch in batches:
+        for root, chunks in zip(batch.column("root").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+            if merkle([chunks[i : i + DIGEST] for i in range(0, len(chunks), DIGEST)]) != root:
+                raise ValueError("a recipe does not match its Merkle root")
+        yield batch
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,12 +388,16 @@ def verify(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     ids_crc32 is the unsigned crc32 of the document's ids as little-endian 32-bit
     integers.  Each stored chunk is read once, held against its digest, and its
     crc32 taken; a document's crc32 is the sum (xor) of its chunks' crc32, each
-    carried over the bytes behind it, so no ids move.  A chunk that does not match
-    its digest, a missing chunk, or a count that differs from the recipe raises.
+    carried over the bytes behind it, so no ids move.  What raises: a chunk that does
+    not match its digest, a missing chunk, a count that differs from the recipe, a
+    recipe whose digests do not give its Merkle root, and recipes that do not give
+    the manifest.
     """
+    check_manifest(spark, folder, width)
     recipes = read_recipes(spark, folder)
+    known_roots = map_arrow(recipes.select("doc_id", "copy", "root", "chunks"), rooted, "doc_id long, copy int, root binary, chunks binary")
     known = map_arrow(read_chunks(spark, folder), digests_of(width), "digest binary, n int, crc long")
-    refs = _chunk_refs(recipes).join(known, "digest", "left")
+    refs = _chunk_refs(known_roots).join(known, "digest", "left")
     behind = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id", "copy").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 4
     shares = refs.select("doc_id", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "n", behind.cast("long").alias("after"), "copy")
     summed = map_arrow(shares, shifted, "doc_id long, share long, n int, copy int").groupBy("doc_id", "copy").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("found"))
@@ -366,7 +406,8 @@ def verify(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
-    """doc_id and ids (array<int>): documents put together from their chunks, Merkle roots verified."""
+    """doc_id and ids (array<int>): documents put together from their chunks, Merkle roots and manifest verified."""
+    check_manifest(spark, folder, width)
     recipes = read_recipes(spark, folder)
     refs = _chunk_refs(recipes).join(read_chunks(spark, folder), "digest", "left")
     whole = refs.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "ids"))).alias("parts"))

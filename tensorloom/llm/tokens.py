@@ -25,21 +25,26 @@ def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches whose texts in the column have about ``most`` bytes; a longer text ends its batch.
+#: Rows of a batch that ``slices`` gives: what a row costs beside its text is bounded too.
+SLICE_ROWS = 1 << 16
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in batches whose texts in the column have about ``most`` bytes, of ``rows`` rows at most; a longer text ends its batch.
 
     Rows are copied: some Arrow kernels misread arrays that begin inside a buffer.
     """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = count = 0
     for batch in batches:
         length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = 0
         for i, n in enumerate(length):
             size += n
-            if size >= most:
+            count += 1
+            if size >= most or count >= rows:
                 yield _joined([*held, batch.slice(begin, i + 1 - begin)])
-                held, size, begin = [], 0, i + 1
+                held, size, count, begin = [], 0, 0, i + 1
         if begin < batch.num_rows:
             held.append(batch.slice(begin))
     if held:

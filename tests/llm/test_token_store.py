@@ -77,6 +77,48 @@ def test_damage(spark, documents):
         ts.verify(spark, folder).collect()
 
 
+def rewritten(spark, folder, table, change):
+    """The store's table with its rows changed, in the same files' place."""
+    kept = spark.read.parquet(f"{folder}/{table}")
+    rows, schema = [r.asDict() for r in kept.collect()], kept.schema
+    change(rows)
+    spark.createDataFrame([tuple(r[f] for f in schema.names) for r in rows], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}")
+
+
+def swapped(rows):
+    row = max(rows, key=lambda r: len(r["chunks"]))
+    c, n = bytes(row["chunks"]), ts.DIGEST
+    assert len(c) >= 2 * n and c[:n] != c[n : 2 * n]
+    row["chunks"] = bytearray(c[n : 2 * n] + c[:n] + c[2 * n :])
+
+
+def new_root(rows):
+    rows[0]["root"] = bytearray(32)
+
+
+def exchanged(rows):
+    """Two documents take each other's text: every recipe is sound by itself."""
+    a, b = rows[:2]
+    for k in ("root", "chunks", "n_tokens"):
+        a[k], b[k] = b[k], a[k]
+
+
+@pytest.mark.parametrize(("table", "change", "says"), [("recipes", swapped, "Merkle root"), ("recipes", new_root, "manifest"), ("recipes", exchanged, "manifest"), ("manifest", new_root, "manifest")])
+def test_tampered(spark, documents, table, change, says):
+    folder = shared_dir(spark)
+    ts.write_store(documents.limit(20), folder, PATH)
+    rewritten(spark, folder, table, change)
+    for read in (ts.verify, ts.read_ids):
+        with pytest.raises(Exception, match=says):
+            read(spark, folder).collect()
+
+
+def test_narrow_ids(spark):
+    df = spark.createDataFrame([(1, "a text with many different words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        ts.write_store(df, shared_dir(spark), PATH, width=1)
+
+
 def test_empty(spark, nothing):
     folder = shared_dir(spark)
     ts.write_store(nothing, folder, PATH)
