@@ -12,7 +12,11 @@ entry, and no key is larger than the number of blocks:
    and the probabilities of the second word, and lists which document backs off
    from which context how often.
 3. Shards of contexts add these sums, which gives each backoff weight exactly
-   normalised, and return what the documents' backoffs amount to.
+   normalised; the weights are stored in tables by shard, and what the documents'
+   backoffs amount to is evaluated from those.
+
+Shuffles have a partition per shard or block, so what a task reads does not grow
+with the corpus.
 
 Discounting: Good-Turing for counts up to 5; above, the same amount as at 5 comes
 off, so that every context leaves some mass.  The mass that seen words leave is
@@ -51,8 +55,8 @@ def in_training(doc_id: int) -> bool:
 def discounted(counts: np.ndarray, of_counts: np.ndarray) -> np.ndarray:
     """What a count is worth.  of_counts[r]: how many n-grams have the count r, for r up to 6.
 
-    (r + 1) n(r + 1) / n(r) for r up to 5 where that lies between 5 % and 95 % below
-    r, else r - 0.5; above 5 as much less as at 5.
+    (r + 1) n(r + 1) / n(r) for r up to 5 where that lies between 5 % of r and r - 0.05,
+    else r - 0.5; above 5 as much less as at 5.
     """
     worth = np.zeros(GOOD_TURING + 1)
     for r in range(1, GOOD_TURING + 1):
@@ -194,8 +198,8 @@ class Totals:
         return np.where(counts > 0, discounted(counts, self.words) / max(self.n, 1), self.unknown)
 
 
-PARTS = "kind string, shard int, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part double, keys binary, x binary, y binary, z binary"
-PART_SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), *((k, pa.binary()) for k in ("keys", "x", "y", "z"))])
+PARTS = "kind string, shard int, block long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, part double, keys binary, x binary, y binary, z binary"
+PART_SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), *((k, pa.binary()) for k in ("keys", "x", "y", "z"))])
 
 
 def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -222,10 +226,9 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             base = np.log10((c1 + 1) / (totals.n + totals.v + 1))
             sums = lambda x: np.bincount(block.doc, x, len(block.ids))
             m = len(block.ids)
-            doc = (row["block"] << 20) + np.arange(m)
             known = sums((c1[block.second] > 0).astype(float)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * m), pa.nulls(m, pa.int32()), pa.array(doc), pa.array(block.ids), pa.array(~block.trained), pa.array(block.n), pa.array(known), pa.array(sums(base[block.second])), pa.array(sums(log2[block.which])), *(pa.nulls(m, pa.binary()) for _ in range(4))],
+                [pa.array(["doc"] * m), pa.nulls(m, pa.int32()), pa.array([row["block"]] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(block.ids), pa.array(~block.trained), pa.array(block.n), pa.array(known), pa.array(sums(base[block.second])), pa.array(sums(log2[block.which])), *(pa.nulls(m, pa.binary()) for _ in range(4))],
                 schema=PART_SCHEMA,
             )
             out = []
@@ -250,33 +253,38 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             bounds = cut(keys, shards)
             for s, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if j > i:
-                    out.append(("back", s, pack(keys[i:j], rising=True), pack(doc[of[i:j]]), pack(times[i:j].astype("<u4")), b""))
+                    out.append(("back", s, pack(keys[i:j], rising=True), pack(of[i:j].astype("<u4")), pack(times[i:j].astype("<u4")), b""))
             if out:
                 kind, shard, keys, x, y, z = zip(*out, strict=True)
                 k = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(shard, pa.int32()), *(pa.nulls(k, PART_SCHEMA.field(i).type) for i in range(2, 9)), *(pa.array(v, pa.binary()) for v in (keys, x, y, z))], schema=PART_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(shard, pa.int32()), pa.array([row["block"]] * k, pa.int64()), *(pa.nulls(k, PART_SCHEMA.field(i).type) for i in range(3, 10)), *(pa.array(v, pa.binary()) for v in (keys, x, y, z))], schema=PART_SCHEMA)
 
     return run
 
 
-def backed_off(group: pd.DataFrame) -> pd.DataFrame:
-    """A shard's contexts to their backoff weights, and those to the documents that back off."""
-    of = group[group["kind"] == "context"]
-    keys = np.concatenate([*(unpack(x, rising=True) for x in of["keys"]), np.zeros(0, np.uint64)])
+def weighed(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard's sums to its table of contexts: keys in order and their backoff weights (log10)."""
+    keys = np.concatenate([unpack(x, rising=True) for x in group["keys"]])
     distinct, which = np.unique(keys, return_inverse=True)
-    total = lambda column: np.bincount(which, np.concatenate([*(unpack(x) for x in of[column]), np.zeros(0)]), len(distinct))
+    total = lambda column: np.bincount(which, np.concatenate([unpack(x) for x in group[column]]), len(distinct))
     first = np.zeros(len(distinct))
-    if len(distinct):
-        first[which] = np.concatenate([unpack(x) for x in of["z"]])
+    first[which] = np.concatenate([unpack(x) for x in group["z"]])
     left = np.log10(1 - total("x") / np.maximum(first, 1)) - np.log10(1 - total("y"))
-    back = group[group["kind"] == "back"]
-    if not len(back):
-        return pd.DataFrame({"doc": np.zeros(0, np.int64), "more": np.zeros(0)})
-    wanted = np.concatenate([unpack(x, rising=True) for x in back["keys"]])
-    docs = np.concatenate([unpack(x) for x in back["x"]])
-    times = np.concatenate([unpack(x) for x in back["y"]])
-    owner, at = np.unique(docs, return_inverse=True)
-    return pd.DataFrame({"doc": owner, "more": np.bincount(at, left[np.searchsorted(distinct, wanted)] * times)})
+    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "keys": [pack(distinct, rising=True)], "weights": [pack(left)]})
+
+
+def backed_off(group: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+    """What the backoffs that a shard's rows list amount to, by the weights in the shard's table."""
+    if not len(group):
+        return pd.DataFrame({"block": np.zeros(0, np.int64), "place": np.zeros(0, np.int32), "more": np.zeros(0)})
+    keys, weights = (unpack(tables["keys"].iloc[0], rising=True), unpack(tables["weights"].iloc[0]))
+    wanted = [unpack(x, rising=True) for x in group["keys"]]
+    row = np.repeat(np.arange(len(group)), [len(w) for w in wanted])
+    place = np.concatenate([unpack(x) for x in group["x"]]).astype(np.int64)
+    times = np.concatenate([unpack(x) for x in group["y"]])
+    owner, at = np.unique(row << 32 | place, return_inverse=True)
+    more = np.bincount(at, weights[np.searchsorted(keys, np.concatenate(wanted))] * times)
+    return pd.DataFrame({"block": group["block"].to_numpy()[owner >> 32], "place": (owner & 0xFFFFFFFF).astype(np.int32), "more": more})
 
 
 def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -292,18 +300,22 @@ def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: i
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     blocks = stage(map_arrow(own, to_blocks(block_bytes), "block long, ids binary, counts binary, words binary, tokens binary, n long"))
-    tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    shards = max(2, -(-tokens // shard_tokens))
+    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("blocks")).first()
+    shards, many = max(2, -(-size.tokens // shard_tokens)), max(2, size.blocks)
     asked = map_arrow(blocks, requests(shards), "kind string, shard int, block long, keys binary, counts binary")
-    answers = stage(asked.groupBy("kind", "shard").applyInPandas(added, ANSWER))
+    answers = stage(asked.repartition(2 * shards, "kind", "shard").groupBy("kind", "shard").applyInPandas(added, ANSWER))
     tables = answers.where("block = -1")
     sums = tables.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.array(*[F.sum(F.get("of_counts", F.lit(i))) for i in range(8)]).alias("of_counts")).collect()  # two rows
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     totals = Totals(sums, own.where(F.pmod(crc, F.lit(7)) != 2).count())
-    per_block = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "counts", "owned")).alias("answers"))
-    met = blocks.join(per_block.hint("shuffle_hash"), "block").select("block", *BLOCK_COLUMNS, "answers")
+    per_block = answers.where("block >= 0").repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "counts", "owned")).alias("answers"))
+    met = blocks.repartition(many, "block").join(per_block.hint("shuffle_hash"), "block").select("block", *BLOCK_COLUMNS, "answers")
     few = max(2, shards // 8)
     parts = stage(map_arrow(met, evaluated(totals, few), PARTS))
-    more = parts.where("kind <> 'doc'").select("kind", "shard", "keys", "x", "y", "z").groupBy("shard").applyInPandas(backed_off, "doc long, more double").groupBy("doc").agg(F.sum("more").alias("more"))
-    scored = parts.where("kind = 'doc'").select("doc", "doc_id", "held_out", "n_tokens", "n_known", "base", "part").join(more, "doc", "left")
+    contexts = parts.where("kind = 'context'").select("shard", "keys", "x", "y", "z")
+    weights = stage(contexts.repartition(few, "shard").groupBy("shard").applyInPandas(weighed, "shard int, keys binary, weights binary"))
+    backs = parts.where("kind = 'back'").select("shard", "block", "keys", "x", "y").repartition(few, "shard").groupBy("shard")
+    found = backs.cogroup(weights.repartition(few, "shard").groupBy("shard")).applyInPandas(backed_off, "block long, place int, more double")
+    more = found.groupBy("block", "place").agg(F.sum("more").alias("more"))
+    scored = parts.where("kind = 'doc'").select("block", "place", "doc_id", "held_out", "n_tokens", "n_known", "base", "part").join(more, ["block", "place"], "left")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))

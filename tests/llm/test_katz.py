@@ -5,7 +5,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from tensorloom.llm import katz
@@ -26,7 +25,7 @@ class Brute:
         self.c1 = Counter(w for t in train for w in t)
         self.c2 = Counter(p for t in train for p in zip([START, *t], t, strict=False))
         self.n = sum(self.c1.values())
-        self.d1, self.d2 = ({c: float(katz.discounted(np.array([c]), self.of(k))[0]) for c in set(k.values())} for k in (self.c1, self.c2))
+        self.d1, self.d2 = ({c: self.worth(c, Counter(k.values())) for c in set(k.values())} for k in (self.c1, self.c2))
         self.unknown = 1 - sum(self.d1[c] for c in self.c1.values()) / self.n
         self.context = Counter()
         self.after = defaultdict(list)
@@ -34,12 +33,13 @@ class Brute:
             self.context[a] += c
             self.after[a].append((b, c))
 
-    @staticmethod
-    def of(counts):
-        out = np.zeros(8)
-        for c in counts.values():
-            out[min(c, 7)] += 1
-        return out
+    @classmethod
+    def worth(cls, r, having):
+        """Good and Turing's estimate of a count, or half off where it is out of bounds; a count over 5 loses what 5 does."""
+        if r > 5:
+            return r - (5 - cls.worth(5, having))
+        turing = (r + 1) * having[r + 1] / having[r] if having[r] else 0
+        return turing if r * 0.05 <= turing <= r - 0.05 else r - 0.5
 
     def p1(self, w):
         return self.d1[self.c1[w]] / self.n if w in self.c1 else self.unknown
@@ -82,5 +82,26 @@ def test_normalised(documents):
         assert math.isclose(seen + rest, 1) and model.weight(a) > 0
 
 
+def test_many_tiny_texts(spark):
+    """More rows than a block takes, with few bytes: scores don't depend on blocks."""
+    tiny = spark.range(0, 140_000, 1, 1).selectExpr("id as doc_id", "case when id % 3 = 0 then null when id % 3 = 1 then 'ab' else concat('c', id % 7) end as text")
+    long = spark.createDataFrame([(-1, "some words " * 3000), (-2, "c1 ab")], "doc_id long, text string")
+    df = tiny.union(long).coalesce(1)
+    a, b = ({r.doc_id: (r.n_tokens, r.n_known, round(r.score, 6)) for r in katz.katz_scores(df, size, 50_000).collect()} for size in (katz.BLOCK_BYTES, 20_000))
+    assert len(a) == 140_002 and a == b
+
+
+def test_repeated_rows(spark, documents):
+    """Rows that repeat a doc_id are documents of their own, counted and scored each."""
+    some = documents.limit(30)
+    twice = katz.katz_scores(some.union(some)).collect()
+    own = [(i, r.text) for i, r in enumerate(some.collect())]
+    assert len(twice) == 2 * len(own)
+    by = {}
+    for r in twice:
+        by.setdefault(r.doc_id, set()).add((r.n_tokens, round(r.score, 9)))
+    assert all(len(x) == 1 for x in by.values())
+
+
 def test_empty(nothing):
     assert katz.katz_scores(nothing).count() == 0
