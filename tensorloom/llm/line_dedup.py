@@ -4,7 +4,8 @@ Lines are exploded into 128-bit keys; per key only the smallest and the largest
 document are aggregated (both combine map-side, so a line that every document
 holds costs one row per task), which tells whether two documents hold it and who
 keeps it.  What comes back to a document is the positions it loses, never the
-lines of others, and the text is put together again by position.
+lines of others, and the text is put together again by position.  Keys that very
+many lines have are looked up by broadcast, so none of them fills one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, ascii_lower, only
+from ._common import MOST_ROWS, SPACES, ascii_lower, looked_up, only
 
 
 def line_key(line: Column) -> Column:
@@ -20,35 +21,38 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, most: int = MOST_ROWS) -> DataFrame:
     """Drops lines whose key is held by at least two documents, but in the smallest doc_id.
 
-    docs needs doc_id (unique) and text; other columns are ignored, whatever
-    their names.  Returns doc_id, n_lines, n_dropped, text.
+    docs needs doc_id and text; other columns are ignored, whatever their names.
+    Returns doc_id, n_lines, n_dropped, text.  ``most`` bounds what is broadcast.
 
     A null or empty text is one empty line, and is returned as ''.  Keys shorter
     than ``min_chars`` code points never count.  A line that one document repeats
     but no other holds stays as often as it occurs; the smallest holder keeps all
-    its copies.  Rows with a null doc_id are left out: they name no document.
+    its copies.  Rows that repeat a doc_id are parts of one document, each with a
+    result of its own: they take no lines from each other.  Rows with a null doc_id
+    are left out: they name no document.
     An empty table gives an empty table.
     """
-    base = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = base.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    base = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", F.xxhash64("text"))
+    lines = base.select("doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = (
-        lines.select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+        lines.select("doc_id", "own", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
+        .select("doc_id", "own", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"))
     )
-    held = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
+    held = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("keeper < last").drop("last")
+    # Rows are told apart by doc_id and text: those that are equal in both lose the same.
     lost = (
-        keyed.join(held.drop("last"), ["k1", "k2"])
+        looked_up(keyed, held, ["k1", "k2"], "n", most)
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "own")
         .agg(F.collect_set("pos").alias("lost"))
     )
     lines_of = F.split("text", "\n", -1)
     return (
-        base.join(lost, "doc_id", "left")
+        base.join(lost, ["doc_id", "own"], "left")
         .withColumn("lost", F.array_sort("lost"))
         .select(
             "doc_id",
