@@ -16,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import looked_up
+
 #: Names by which statements call a license.
 NAMES = {
     "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"),
@@ -199,32 +201,35 @@ def ancestors(directory: Column) -> Column:
 def scan(files: DataFrame, key: str = "path", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """key, path, own_license, own_score, license, source ('own', 'inherited' or null), licensed_by (the directory it is inherited from).
 
-    files needs ``key`` (unique), path and text; others are ignored.  A file has the
+    files needs ``key``, path and text; others are ignored.  A file has the
     license of its best passage, else the one of the nearest directory above it that
     has a license file: one named LICENSE, LICENCE, COPYING, NOTICE or UNLICENSE, or
     one that is a license as a whole.  Of several in a directory the best score
     counts, then the smaller license.  Null texts have no license, null paths inherit
-    none, and rows with a null key are left out.  An empty table gives an empty one.
+    none, and rows with a null key are left out.  Rows that repeat a key are files of
+    their own.  An empty table gives an empty one.
     """
     own = files.select(F.col(key).alias("file"), F.col("path").alias("place"), "text").where(F.col("file").isNotNull())
-    found = own_licenses(own, "file", templates, threshold)
+    # Equal rows have equal terms, so their cosines are those of one; others differ in this hash.
+    own = own.withColumn("row", F.xxhash64("file", "text"))
+    found = own_licenses(own.select("row", "text"), "row", templates, threshold)
     # Only the few licensed files and the paths move, never the texts.
-    places = own.select("file", "place", parent(F.col("place")).alias("directory"))
-    with_own = places.join(found, "file", "left")
+    places = own.select("file", "place", "row", parent(F.col("place")).alias("directory"))
+    with_own = places.join(found, "row", "left").drop("row")
     by_directory = (
         with_own.where(F.col("license").isNotNull() & F.col("directory").isNotNull() & (F.col("whole") | F.col("place").rlike(FILE_NAMES)))
         .groupBy("directory")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license"))).alias("best"))
         .select(F.col("directory").alias("above"), F.col("best.license").alias("theirs"))
     )
-    directories = places.where(F.col("directory").isNotNull()).select("directory").distinct()
+    directories = places.where(F.col("directory").isNotNull()).groupBy("directory").agg(F.count(F.lit(1)).alias("files"))
     nearest = (
-        directories.select("directory", F.posexplode(ancestors(F.col("directory"))).alias("steps", "above"))
+        directories.select("directory", "files", F.posexplode(ancestors(F.col("directory"))).alias("steps", "above"))
         .join(by_directory, "above")
         .groupBy("directory")
-        .agg(F.min_by(F.struct("above", "theirs"), "steps").alias("heir"))
+        .agg(F.first("files").alias("files"), F.min_by(F.struct("above", "theirs"), "steps").alias("heir"))
     )
-    joined = with_own.join(nearest, "directory", "left")
+    joined = looked_up(with_own, nearest, ["directory"], "files", size=F.octet_length("directory") + F.octet_length("heir.above") + F.octet_length("heir.theirs"))
     return joined.select(
         F.col("file").alias(key if key != "path" else "path"),
         *([F.col("place").alias("path")] if key != "path" else []),
