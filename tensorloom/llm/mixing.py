@@ -48,18 +48,19 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     r"""How many copies of each document the mix takes.
 
-    docs needs doc_id (unique), text, source.  Returns doc_id, source, size,
+    docs needs doc_id, text, source.  Returns doc_id, source, size,
     source_size, target, copies, taken (copies * size).  The size of a document
     is its number of ``[^\x20\x09-\x0D]+``; null and blank texts have size 0, take
     part in the running sums and weigh nothing.  A null source is a source, the
     last.  A source without words has target 0 and no copies.  Ties in size go by
-    doc_id.  Rows with a null doc_id are left out; an empty table gives an empty
+    doc_id.  Rows that repeat a doc_id are documents of their own, taken each for
+    itself.  Rows with a null doc_id are left out; an empty table gives an empty
     one.
     """
+    # Staged first: the range bounds are sampled from sizes, not from texts split a second time.
+    sized = stage(docs.select("doc_id", "source", F.size(text_words(F.col("text"))).cast("long").alias("size")).where(F.col("doc_id").isNotNull()))
     sized = stage(
-        docs.select("doc_id", "source", F.size(text_words(F.col("text"))).cast("long").alias("size"))
-        .where(F.col("doc_id").isNotNull())
-        .repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"))
+        sized.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"))
         .sortWithinPartitions(F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"))
         .withColumn("part", F.spark_partition_id())
     )
