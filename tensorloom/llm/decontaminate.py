@@ -1,9 +1,9 @@
 """Benchmark decontamination by word windows, with DataFrame operations only.
 
 Each item gives windows of 13 words (a shorter item one shorter window).  The
-windows' hashes, texts and items are broadcast, after a count against a bound;
-above it they are taken in blocks of at most that size, one pass of the documents
-each.  A document's windows are hashed on its own row from the hashes of its
+windows' hashes, texts and items are broadcast, after a count of rows and bytes
+against bounds; above them they are taken in blocks of about that size, one pass
+of the documents each.  A document's windows are hashed on its own row from the hashes of its
 words, looked up in the broadcast table, and a hit is verified against the
 window's words inside the same join.
 """
@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, let
+from ._common import ascii_lower, let, stage
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-#: About 300 bytes a window: 60 MB at most are broadcast at once.
-MAX_WINDOWS = 200_000
+#: What is broadcast at once: rows, and bytes of words and item names (one window with more has a block of its own).
+MAX_WINDOWS, MAX_BYTES = 200_000, 64 << 20
+#: Key of the row that tells a document's number of words.
+MARK = 7
 
 
 def plain_words(text: Column) -> Column:
@@ -55,30 +57,44 @@ def _key_of(hashes: Column, width: int) -> Column:
     return F.coalesce(*[F.when(F.size(hashes) == n, F.get(window_keys(hashes, n), F.lit(0))) for n in range(1, width + 1)])
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, pos (0-based word), n, items: every place where a document has an item's window."""
-    windows = item_windows(benchmark, width).cache()
-    sizes = {r["n"]: r["rows"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect()}  # at most `width` rows
-    none = docs.select("doc_id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
-    if not sizes:
-        return none
-    words = docs.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+def _bytes(words: Column, items: Column) -> Column:
+    """What a window takes in a broadcast: its words and its items' names."""
+    return F.octet_length(words) + F.aggregate(items, F.lit(0), lambda a, x: a + F.octet_length(x) + 8) + 64
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, own (hash of the text), pos (0-based word), n, items: every place where a document has an item's window.
+
+    Besides, each row of docs has one row here with n = 0 and its number of words as
+    pos, so that its text is split once for all.
+    """
+    # Once in files: every pass reads the same windows.
+    windows = stage(item_windows(benchmark, width))
+    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most `width` rows
+    size = windows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_bytes(F.col("words"), F.col("items"))), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.rows // max_windows), -(-size.bytes // max_bytes))
+    words = docs.select("doc_id", F.xxhash64("text").alias("own"), plain_words(F.col("text")).alias("words"))
+    words = words.select("doc_id", "own", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     # A row for each length that windows have, then a row for each window: its key and place alone, with the words beside it unread.
-    per_length = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), window_keys(F.col("hashes"), n).alias("keys")) for n in sorted(sizes)]))
-    at = words.select("doc_id", "words", per_length.alias("own")).select("doc_id", "words", F.col("own.n").alias("n"), F.posexplode("own.keys").alias("pos", "key"))
-    hits, blocks = none, -(-sum(sizes.values()) // max_windows)
+    own_length = F.struct(F.lit(0).alias("n"), F.array(F.lit(MARK).cast("long")).alias("keys"))
+    per_length = [F.struct(F.lit(n).alias("n"), window_keys(F.col("hashes"), n).alias("keys")) for n in sorted(lengths)]
+    hits = None
     for block in range(blocks):
+        at = words.select("doc_id", "own", "words", F.explode(F.array(*([own_length] if not block else []), *per_length)).alias("of"))
+        at = at.select("doc_id", "own", "words", F.col("of.n").alias("n"), F.posexplode("of.keys").alias("pos", "key"))
         known = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).select("hash", F.col("n").alias("width"), F.col("words").alias("known"), "items")
+        known = known.union(docs.sparkSession.range(1).select(F.lit(MARK).cast("long"), F.lit(0), F.lit(""), F.array().cast("array<string>")))
         same = (F.col("key") == F.col("hash")) & (F.col("n") == F.col("width"))
         # An equality would become a key of the join, and be worked out for every window; this is a condition on matches.
         own = F.array_join(F.slice("words", F.col("pos") + 1, F.col("n")), " ")
         verified = F.startswith(own, F.col("known")) & F.startswith(F.col("known"), own)
-        found = at.join(F.broadcast(known), same & verified).select("doc_id", "pos", "n", "items")
+        place = F.when(F.col("n") == 0, F.size("words")).otherwise(F.col("pos"))
+        found = at.join(F.broadcast(known), same & verified).select("doc_id", "own", place.alias("pos"), "n", "items")
         hits = hits.unionByName(found) if block else found
     return hits
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """What of each document lies in an item's window.
 
     docs needs doc_id and text, benchmark item_id and text.  Returns doc_id,
@@ -88,24 +104,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
 
     Null texts have no words; items without words or item_id have no window; an
     empty benchmark hits nothing; an empty documents table gives an empty one.
-    Rows with a null doc_id are left out.
+    Rows that repeat a doc_id are judged each by its own text.  Rows with a null
+    doc_id are left out.
     """
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    counts = own.select("doc_id", F.size(plain_words(F.col("text"))).cast("long").alias("n_words"))
-    found = window_hits(own, benchmark, width, max_windows).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    hit = F.col("n") > 0
+    # Rows of one doc_id with equal texts come together here, and apart again.
+    found = (
+        window_hits(own, benchmark, width, max_windows, max_bytes)
+        .groupBy("doc_id", "own")
+        .agg(
+            F.max(F.when(~hit, F.col("pos"))).cast("long").alias("n_words"),
+            F.count_if(~hit).cast("int").alias("rows"),
+            F.array_sort(F.collect_set(F.when(hit, F.struct("pos", "n")))).alias("at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
+        )
     )
+    found = found.select("doc_id", "n_words", "at", "items", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
     return (
-        counts.join(found, "doc_id", "left")
-        .withColumn("spans", F.coalesce(_merged(F.col("at")), F.array().cast("array<struct<start:int,end:int>>")))
-        .select(
-            "doc_id",
-            "n_words",
-            F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"),
-            "spans",
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        )
+        found.withColumn("spans", F.when(F.size("at") > 0, _merged(F.col("at"))).otherwise(none))
+        .select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), "spans", "items")
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )
 
