@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm import decontaminate as dc
 from tensorloom.llm import line_dedup, mixing, quality_rules
+from tensorloom.llm._common import looked_up
 
 from .conftest import SF, texts
 
@@ -169,3 +170,58 @@ def test_empty(nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+
+
+REPEATED = [
+    (1, "a common line of the host\nsome own words", "h"),
+    (1, "a common line of the host\nsome own words", "h"),
+    (1, "another text of the same document", "h"),
+    (2, "a common line of the host\nmore own words here", "h"),
+    (2, None, "h"),
+    (2, None, "h"),
+]
+
+
+def repeated(spark):
+    return spark.createDataFrame(REPEATED, "doc_id long, text string, source string")
+
+
+def test_repeated_rows_lines(spark):
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(repeated(spark)).collect())
+    assert got == sorted([*[(1, 2, 0, REPEATED[0][1])] * 2, (1, 1, 0, REPEATED[2][1]), (2, 2, 1, "more own words here"), (2, 1, 0, ""), (2, 1, 0, "")])
+
+
+def test_repeated_rows_quality(spark):
+    got = sorted((r.doc_id, r.n_words, r.lost_words) for r in quality_rules.quality_rules(repeated(spark), max_docs=1, max_share=0.1).collect())
+    assert got == [(1, 6, 0), (1, 9, 6), (1, 9, 6), (2, 0, 0), (2, 0, 0), (2, 10, 6)]
+
+
+def test_repeated_rows_contamination(spark):
+    bench = spark.createDataFrame([("q", "some own words")], "item_id string, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in dc.decontaminate(repeated(spark), bench).collect())
+    assert got == [(1, 6, 0, False), (1, 9, 3, True), (1, 9, 3, True), (2, 0, 0, False), (2, 0, 0, False), (2, 10, 0, False)]
+
+
+def test_contamination_by_bytes(spark, documents):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(10)
+    key = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in rows)
+    assert key(dc.decontaminate(documents, bench).collect()) == key(dc.decontaminate(documents, bench, max_bytes=20_000).collect())
+
+
+def test_repeated_rows_mixing(spark):
+    rows = mixing.mix(repeated(spark)).collect()
+    assert len(rows) == len(REPEATED) and sum(r["size"] for r in rows) == rows[0].source_size
+
+
+def test_hot_keys(spark, documents):
+    """Keys over the broadcast's bound are shuffled, hot ones never: the rows are the same."""
+    table = spark.createDataFrame([(k, f"v{k}", 1000 if k == 1 else 2) for k in range(40)], "k long, v string, n long")
+    rows = spark.createDataFrame([(i, 1 if i % 3 else None if i % 2 else i) for i in range(300)], "i long, k long")
+    want = sorted(((i, k, f"v{k}" if k is not None and k < 40 else None) for i, k in ((i, 1 if i % 3 else None if i % 2 else i) for i in range(300))), key=lambda x: x[0])
+    for most, size, most_bytes in ((100, None, 1), (5, None, 1), (100, F.length("v"), 20)):
+        got = looked_up(rows, table, ["k"], "n", most, size, most_bytes).select("i", "k", "v").collect()
+        assert sorted(map(tuple, got), key=lambda x: x[0]) == want
+    lines = lambda most: sorted(map(tuple, line_dedup.dedup_lines(documents, most=most).collect()))
+    assert lines(3) == lines(100_000)
+    kept = lambda most: sorted((r.doc_id, r.lost_words) for r in quality_rules.quality_rules(documents, max_docs=2, max_share=0.001, most=most).collect())
+    assert kept(3) == kept(100_000)
