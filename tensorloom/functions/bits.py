@@ -24,7 +24,7 @@ def join(r: Column, e: Column) -> Column:
 
 
 def round_mantissa(w: Column, m: int) -> Column:
-    """To m mantissa bits, half to even, never leaving the binade; words of exponent 255 stay."""
+    """To m mantissa bits, half to even, the exponent kept; words of exponent 255 stay."""
     if m not in range(1, 8):
         raise ValueError("m must be 1 to 7")
     if m == 7:

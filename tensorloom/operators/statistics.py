@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..workers import ship
+from . import tiles
 
 
 def exp_hist(weights: DataFrame, *by: str) -> DataFrame:
@@ -34,26 +34,48 @@ def entropy(hist: DataFrame, *by: str) -> DataFrame:
     return hist.groupBy("name", *by).agg(total.alias("n"), F.count(F.lit(1)).alias("m"), h.alias("h")).withColumn("h_mm", F.col("h") + (F.col("m") - 1) / (2 * F.col("n") * math.log(2)))
 
 
-def mutual_info(weights: DataFrame) -> DataFrame:
-    """Entropy of the exponent, and given its row and its column, corrected, weighted by how many weights a row or column has."""
-    given = lambda by: entropy(exp_hist(weights, by), by).groupBy("name").agg((F.sum(F.col("h_mm") * F.col("n")) / F.sum("n")).alias(f"h_given_{by}"))
-    whole = entropy(exp_hist(weights)).select("name", "n", F.col("h_mm").alias("h"))
-    both = whole.join(given("r"), "name").join(given("c"), "name")
+def mutual_info(rows: DataFrame) -> DataFrame:
+    """Entropy of the exponent, and given its row and its column, corrected, weighted by how many weights a row or column has.
+
+    From rows (name, w array): rows are told inside themselves, columns by one
+    shuffle of (column, exponent) counts, and the whole by adding those up.
+    """
+    places = rows.select("name", F.posexplode("w").alias("c", "w"))
+    columns = exp_hist(places, "c")
+    given_c = entropy(columns, "c").groupBy("name").agg((F.sum(F.col("h_mm") * F.col("n")) / F.sum("n")).alias("h_given_c"))
+    whole = entropy(columns.groupBy("name", "ex").agg(F.sum("n").alias("n"))).select("name", "n", F.col("h_mm").alias("h"))
+    given_r = tiles.row_entropies(rows).select("name", (F.col("h") / F.col("n")).alias("h_given_r"))
+    both = whole.join(given_r, "name").join(given_c, "name")
     return both.withColumn("info_row", F.col("h") - F.col("h_given_r")).withColumn("info_col", F.col("h") - F.col("h_given_c"))
 
 
 def huffman_lengths(counts: np.ndarray) -> np.ndarray:
-    """Code length of each symbol; one symbol alone has one bit, absent ones none."""
+    """Code length of each symbol of an optimal prefix code; one symbol alone has one bit, absent ones none.
+
+    The leaves in order of count, and the merged nodes in the order they are made,
+    which is that of their weights too, are two queues: the two least are at their fronts.
+    """
+    leaves = np.flatnonzero(counts)[np.argsort(counts[counts > 0], kind="stable")]
+    m = len(leaves)
     lengths = np.zeros(len(counts), np.int64)
-    heap = [(int(n), i, [i]) for i, n in enumerate(counts) if n > 0]
-    if len(heap) == 1:
-        lengths[heap[0][2][0]] = 1
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        both = a[2] + b[2]
-        lengths[both] += 1
-        heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), both))
+    if m < 2:
+        lengths[leaves] = 1
+        return lengths
+    weight = np.concatenate([counts[leaves], np.zeros(m - 1, counts.dtype)])
+    above = np.zeros(2 * m - 1, np.int64)
+    leaf, node = 0, m
+    for made in range(m, 2 * m - 1):
+        for _ in range(2):
+            if leaf < m and (node >= made or weight[leaf] <= weight[node]):
+                taken, leaf = leaf, leaf + 1
+            else:
+                taken, node = node, node + 1
+            above[taken] = made
+            weight[made] += weight[taken]
+    depth = np.zeros(2 * m - 1, np.int64)
+    for i in range(2 * m - 3, -1, -1):
+        depth[i] = depth[above[i]] + 1
+    lengths[leaves] = depth[:m]
     return lengths
 
 

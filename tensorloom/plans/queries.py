@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, classify
-from ..operators import codecs, reductions, runs, statistics
+from ..operators import codecs, reductions, runs, statistics, tiles
 from ..sources import tables
 from . import tensor_sql as sql
 
@@ -29,9 +29,22 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def tile_query(name: str, text: Callable[[sql.Dialect], str]) -> None:
+def given(spark: SparkSession, sf_dir: str, text: str, t: int, order: Callable | None = None) -> dict[str, DataFrame]:
+    """The tables that a text asks for, made from row arrays."""
+    rows = tables.tensor_rows(spark, sf_dir).select("name", "cls", "r", "w")
+    out = {}
+    if "{tiles}" in text:
+        out["tiles"] = tiles.palette_tiles(rows, t, order)
+    if "{rtiles}" in text or "{counts}" in text:
+        out["counts"] = tiles.counts(rows)
+    if "{rtiles}" in text:
+        out["rtiles"] = tiles.rank_tiles(tiles.with_ranks(rows, out["counts"]), t, order)
+    return {k: v for k, v in out.items() if f"{{{k}}}" in text}
+
+
+def tile_query(name: str, text: Callable[[sql.Dialect], str], t: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text(sql.SPARK).replace("{weights}", "").replace("FROM weights", "FROM {weights}"), weights=tables.weights(spark, sf_dir))
+        return spark.sql(text(sql.SPARK), **given(spark, sf_dir, text(sql.SPARK), t))
 
     QUERIES[name] = run
     ORACLE[name] = text(sql.DUCKDB).replace("{weights}", W + ", ")
@@ -65,7 +78,7 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT w.name, w.n, round(w.h_mm, 7) AS h, round(gr.h, 7) AS h_given_row, round(gc.h, 7) AS h_given_col, round(w.h_mm - gr.h, 7) AS info_row, round(w.h_mm - gc.h, 7) AS info_col FROM whole w JOIN gr ON gr.name = w.name JOIN gc ON gc.name = w.name"
 )
 def mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = statistics.mutual_info(tables.weights(spark, sf_dir))
+    m = statistics.mutual_info(tables.tensor_rows(spark, sf_dir))
     return m.select("name", "n", *[F.round(a, 7).alias(b) for a, b in (("h", "h"), ("h_given_r", "h_given_row"), ("h_given_c", "h_given_col"), ("info_row", "info_row"), ("info_col", "info_col"))])
 
 
@@ -91,14 +104,14 @@ def round_mantissa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _t in (32, 64, 128):
-    tile_query(f"tile_distinct_t{_t}", lambda d, t=_t: sql.tile_distinct(d, t))
-    tile_query(f"palette_policies_t{_t}", lambda d, t=_t: sql.palette_totals(d, t))
-    tile_query(f"rank_policies_t{_t}", lambda d, t=_t: sql.rank_totals(d, t))
-    tile_query(f"best_choices_t{_t}", lambda d, t=_t: sql.best_choices(d, t))
-tile_query("bits_per_weight", lambda d: sql.rank_bits(d, 128))
-tile_query("baseline_codes", sql.baselines)
-tile_query("v1_meta", sql.v1_meta)
-tile_query("v2_meta", sql.v2_meta)
+    tile_query(f"tile_distinct_t{_t}", lambda d, t=_t: sql.tile_distinct(d, t), _t)
+    tile_query(f"palette_policies_t{_t}", lambda d, t=_t: sql.palette_totals(d, t), _t)
+    tile_query(f"rank_policies_t{_t}", lambda d, t=_t: sql.rank_totals(d, t), _t)
+    tile_query(f"best_choices_t{_t}", lambda d, t=_t: sql.best_choices(d, t), _t)
+tile_query("bits_per_weight", lambda d: sql.rank_bits(d, 128), 128)
+tile_query("baseline_codes", sql.baselines, 64)
+tile_query("v1_meta", sql.v1_meta, 128)
+tile_query("v2_meta", sql.v2_meta, 128)
 
 
 def _v1_words(text: str) -> str:
@@ -187,13 +200,17 @@ def matvec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reductions.matvec(rows, [16256 + (i * 37) % 128 for i in range(64)])
 
 
-@query()
+@query("SELECT vec_id, list_reduce(list_prepend(CAST(0 AS FLOAT), CAST(embedding AS FLOAT[])), lambda a, b: CAST(a + b AS FLOAT)) AS total FROM embeddings")
 def split_k_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select("vec_id", reductions.fold(F.col("embedding").cast("array<float>")).alias("total"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {W}, {sql.exps(sql.DUCKDB)}, merging AS (SELECT name, list_sort(list(n)) AS l, CAST(0 AS BIGINT) AS bits, CAST(sum(n) AS BIGINT) AS n FROM (SELECT name, ex, count(*) AS n FROM exps GROUP BY name, ex) h GROUP BY name "
+    "UNION ALL SELECT name, list_sort(list_append(l[3:], l[1] + l[2])), CAST(bits + l[1] + l[2] AS BIGINT), n FROM merging WHERE len(l) > 1) "
+    "SELECT name, n, CASE WHEN bits = 0 THEN n ELSE bits END AS huffman_bits FROM merging WHERE len(l) = 1"
+)
 def huffman_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.huffman_bits(statistics.exp_hist(tables.weights(spark, sf_dir)))
 
@@ -225,17 +242,28 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", k["cls"].alias("cls"), k["sub"].alias("sub"), k["layer"].cast("long").alias("layer"))
 
 
-@query()
+_BIN = f"CASE WHEN rel <= 0 THEN 0 ELSE least(greatest(floor((log10(rel) + 8) * 200), 0), {statistics.BINS - 1}) END"
+_EDGE = "CASE WHEN {0} = 0 THEN 0.0 ELSE pow(10.0, -8 + ({0} + 1) / 200.0) END"
+_SIZE = "CASE WHEN ({0} >> 7) & 255 = 0 THEN ({0} & 127) * pow(2.0, -133) ELSE (({0} & 127) + 128) * pow(2.0, (({0} >> 7) & 255) - 134) END"
+
+
+@query(
+    f"WITH {W}, pairs AS ({' UNION ALL '.join(_rounded(m).replace('SELECT name,', 'SELECT name, cls, r, c // 32 AS t,') for m in range(2, 7))}), "
+    f"sizes AS (SELECT m, cls, name, r, t, CASE WHEN ((w >> 7) & 255) = 255 THEN 0 ELSE {_SIZE.format('w')} END AS a, CASE WHEN ((w >> 7) & 255) = 255 THEN 0 ELSE {_SIZE.format('v')} END AS b FROM pairs), "
+    "errors AS (SELECT m, cls, sqrt(sum((a - b) * (a - b)) / sum(a * a)) AS rel, max(CASE WHEN a > 0 THEN abs(a - b) / a ELSE 0 END) AS most FROM sizes GROUP BY m, cls, name, r, t HAVING sum(a * a) > 0), "
+    f"binned AS (SELECT m, cls, CAST({_BIN} AS INTEGER) AS bin, count(*) AS n, max(most) AS most FROM errors GROUP BY 1, 2, 3), "
+    "running AS (SELECT *, sum(n) OVER (PARTITION BY m, cls ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY m, cls) AS total FROM binned) "
+    "SELECT CAST(m AS BIGINT) AS m, cls, CAST(max(total) AS BIGINT) AS tiles, "
+    + ", ".join(f"round({_EDGE.format(f'min(CASE WHEN upto >= {q / 100} * total THEN bin END)')}, 12) AS p{f'{q:g}'.replace('.', '_')}" for q in (50, 90, 99, 99.9))
+    + ", round(max(most), 12) AS max_rel FROM running GROUP BY m, cls"
+)
 def lossy_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per mantissa width: percentiles of the relative error of tiles of 32, from a histogram, and the exact largest."""
-    w = tables.weights(spark, sf_dir).cache()
-    out = None
-    for m in range(2, 7):
-        tiles = statistics.lossy_tiles(w, 32, m).where("rel_fro is not null")
-        hist = tiles.groupBy("cls", statistics.error_bin(F.col("rel_fro")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        one = statistics.percentiles(hist, (50, 90, 99, 99.9), "cls").join(tiles.groupBy("cls").agg(F.max("max_rel").alias("max_rel")), "cls").withColumn("m", F.lit(m))
-        out = out.unionByName(one) if out is not None else one
-    return out
+    hist = tiles.lossy_bins(tables.tensor_rows(spark, sf_dir), 32, (2, 3, 4, 5, 6), statistics.BINS)
+    qs = (50, 90, 99, 99.9)
+    names = [f"p{q:g}".replace(".", "_") for q in qs]
+    found = statistics.percentiles(hist, qs, "m", "cls").join(hist.groupBy("m", "cls").agg(F.max("max_rel").alias("max_rel")), ["m", "cls"])
+    return found.select(F.col("m").cast("long").alias("m"), "cls", "tiles", *[F.round(c, 12).alias(c) for c in (*names, "max_rel")])
 
 
 @query("SELECT idx // 32 AS win, count(*) AS n, min(token) AS first_sorted, max(token) AS last_sorted FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx, role AS token FROM conversations) GROUP BY idx // 32 HAVING count(*) = 32")
@@ -286,10 +314,9 @@ _GAIN = sql.rank_totals(sql.DUCKDB, 32)
 )
 def locality_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits that the real order saves against the same weights shuffled inside their rows."""
-    real = tables.weights(spark, sf_dir)
-    text = sql.rank_totals(sql.SPARK, 32).replace("{weights}", "").replace("FROM weights", "FROM {weights}")
-    a = spark.sql(text, weights=real).alias("a")
-    b = spark.sql(text, weights=statistics.shuffled_in_rows(real)).alias("b")
+    text = sql.rank_totals(sql.SPARK, 32)
+    a = spark.sql(text, **given(spark, sf_dir, text, 32)).alias("a")
+    b = spark.sql(text, **given(spark, sf_dir, text, 32, tiles.in_hash_order())).alias("b")
     return a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.policy") == F.col("b.policy"))).select("a.name", "a.policy", F.col("a.bits").alias("bits_real"), F.col("b.bits").alias("bits_shuffled"), F.round((F.col("b.bits") - F.col("a.bits")) / F.col("a.numel"), 9).alias("gain"))
 
 
