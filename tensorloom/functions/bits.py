@@ -84,6 +84,22 @@ def _words_of_rows(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if r is None else p for r, p in zip(rows, parts, strict=True)])
 
 
+def float_bits(x: Column) -> Column:
+    """The 32 bits of a float as a long of 0..2**32 - 1, from its exponent and mantissa; finite values."""
+    size = F.abs(x).cast("double")
+    e = F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.0**-126)))), F.lit(-126))
+    # The logarithm may round up to the next power.
+    e = F.when(F.pow(F.lit(2.0), e) > size, F.greatest(e - 1, F.lit(-126))).when(F.pow(F.lit(2.0), e + 1) <= size, e + 1).otherwise(e)
+    mantissa = (size * F.pow(F.lit(2.0), 23 - e)).cast("long")  # with the leading bit of normal numbers
+    sign = F.when(x.cast("string").startswith("-"), F.lit(1 << 31)).otherwise(F.lit(0))
+    return sign + mantissa + (e + 126) * F.lit(1 << 23)
+
+
+def truncated(u: Column) -> Column:
+    """The upper half of a float32's 32 bits (a long of 0..2**32 - 1): BF16 without rounding."""
+    return F.shiftrightunsigned(u, 16)
+
+
 def bf16_words(floats: Column | str) -> Column:
     """array<float> to array<int>, a batch of rows at once; made where it is used, as workers import this module too."""
     return F.pandas_udf(_words_of_rows, "array<int>")(floats)

@@ -210,8 +210,8 @@ def _rows_with_tables(rows: DataFrame, hists: DataFrame) -> DataFrame:
     return rows.join(hists, "name")
 
 
-def pack(rows: DataFrame, form: str) -> DataFrame:
-    """name, r and the parts of the format; every row is coded alone, in batches of rows."""
+def pack(rows: DataFrame, form: str, hists: DataFrame | None = None) -> DataFrame:
+    """name, r and the parts of the format; every row is coded alone, in batches of rows.  ``hists`` as ``histograms`` gives them, if they are known."""
     ship(rows.sparkSession)
     fields = [x.split(" ")[0] for x in PACKED[form].split(", ")]
 
@@ -225,7 +225,7 @@ def pack(rows: DataFrame, form: str) -> DataFrame:
                 out.append((name, r, *_ENCODE[form](np.asarray(w, np.int32), known[name])))
             yield pd.DataFrame(out, columns=["name", "r", *fields])
 
-    return _rows_with_tables(rows.select("name", "r", "w"), histograms(rows)).mapInPandas(run, f"name string, r long, {PACKED[form]}")
+    return _rows_with_tables(rows.select("name", "r", "w"), histograms(rows) if hists is None else hists).mapInPandas(run, f"name string, r long, {PACKED[form]}")
 
 
 def unpack(packed: DataFrame, hists: DataFrame, form: str) -> DataFrame:

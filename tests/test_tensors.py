@@ -202,11 +202,17 @@ def test_safetensors(spark, tmp_path):
     assert sorted(r.r for r in some) == [2, 3, 4]
     header, _ = safetensors.read_header(os.path.join(out, "one.safetensors"))
     assert header["embeddings"]["data_offsets"] == [0, n * 128]
-    w = safetensors.Writer(tmp_path / "x.safetensors", 64)
-    w.begin("a", "U8", [3])
-    w.write(b"ab")
+    pushed = safetensors.read(spark, out).where("name = 'b.weight' and r >= 2 and r < 5 and size(w) > 0")
+    assert sorted(r.r for r in pushed.collect()) == [2, 3, 4] and pushed.rdd.getNumPartitions() == 1
+    assert safetensors.read(spark, out).where("name in ('x') or r = 3").count() == 2
+    entries = [("a", "U8", [3]), ("b", "U8", [0]), ("c", "BF16", [2])]
+    assert safetensors.save(tmp_path / "x", entries, [("a", b"ab"), ("a", b"c"), ("c", b"defg")]) == (tmp_path / "x").stat().st_size
+    assert (tmp_path / "x").read_bytes().endswith(b"abcdefg") and safetensors.read_header(tmp_path / "x")[0]["c"]["data_offsets"] == [3, 7]
+    for data in ([("a", b"ab")], [("a", b"abcd")], [("a", b"abc")], [("c", b"defg")], [("a", b"abc"), ("d", b"")]):
+        with pytest.raises(ValueError):
+            safetensors.save(tmp_path / "y", entries, data)
     with pytest.raises(ValueError):
-        w.end()
+        safetensors.head([("a", "U8", [1]), ("a", "U8", [1])])
     with pytest.raises(FileNotFoundError):
         safetensors.shard_files(tmp_path / "none")
 
