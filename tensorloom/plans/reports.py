@@ -177,7 +177,7 @@ def r4_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each tile's words begin in its tensor's stream."""
     meta = QUERIES["v1_meta"](spark, sf_dir)
-    before = codecs.row_offsets(meta.groupBy("name", "r").agg(F.sum(4 * F.col("b")).alias("words")), "words", "base").select("name", "r", "base")
+    before = codecs.row_offsets(meta.groupBy("name", "r").agg(F.sum(4 * F.col("b")).alias("words")), "words", "row_begin").select("name", "r", "row_begin")
     inside = F.sum(4 * F.col("b")).over(Window.partitionBy("name", "r").orderBy("t")) - 4 * F.col("b")
     return meta.withColumn("inside", inside).join(before, ["name", "r"]).select("name", "r", "t", "b", (F.col("row_begin") + F.col("inside")).cast("long").alias("start"))
 
