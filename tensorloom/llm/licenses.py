@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import looked_up
+from ._common import looked_up, stage
 
 #: Names by which statements call a license.
 NAMES = {
@@ -212,7 +212,8 @@ def scan(files: DataFrame, key: str = "path", templates: tuple[tuple[str, str],
     own = files.select(F.col(key).alias("file"), F.col("path").alias("place"), "text").where(F.col("file").isNotNull())
     # Equal rows have equal terms, so their cosines are those of one; others differ in this hash.
     own = own.withColumn("row", F.xxhash64("file", "text"))
-    found = own_licenses(own.select("row", "text"), "row", templates, threshold)
+    # In files, as it is read for directories and for the files themselves: the texts are compared once.
+    found = stage(own_licenses(own.select("row", "text"), "row", templates, threshold))
     # Only the few licensed files and the paths move, never the texts.
     places = own.select("file", "place", "row", parent(F.col("place")).alias("directory"))
     with_own = places.join(found, "row", "left").drop("row")
