@@ -40,8 +40,11 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight takes it: never, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    """Each document as often as its source's target weight takes it: never, once or twice.
+
+    Rows that repeat a doc_id are each taken as often as the one of them that is taken most.
+    """
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     return docs.select(COLUMNS).join(copies, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
