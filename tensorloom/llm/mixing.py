@@ -41,8 +41,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def offset(source: Column, seed: int) -> Column:
-    """One number in [0, 1) per source, the same in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(source, F.lit("")), source.isNull()), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """One number in [0, 1) per source, the same in every run: 52 bits of the md5 of the seed and the source."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:

@@ -115,6 +115,20 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id"""
 
+OP10_SQL = f"""
+WITH docs AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents WHERE doc_id IS NOT NULL),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS most FROM docs GROUP BY source),
+named AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM sources),
+leveled AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM named WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+held AS (SELECT arg_min(level, most / weight) AS level FROM leveled WHERE most > weight * level),
+targets AS (SELECT source, source_size, CASE WHEN l.most <= l.weight * l.level THEN l.most ELSE l.weight * h.level END AS target FROM leveled l CROSS JOIN held h),
+steps AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
+  CAST(CAST('0x' || substr(md5('42:' || coalesce('s' || source, '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS start FROM targets),
+placed AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.step, s.start, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS upto
+  FROM docs d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, CAST(floor(upto * step + start) - floor((upto - 1) * step + start) AS BIGINT) * size AS taken FROM placed"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_simhash": op2_simhash,
@@ -127,4 +141,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": op9_katz,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_mixing": OP10_SQL}

@@ -376,8 +376,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, memb
     similarity 0.8 differ in 15 %, unrelated ones in half).  Blocks don't depend on
     the table, so neither does what is found.  Only the documents of candidate
     groups have their shingles compared, in parts of at most ``members``, each two
-    parts in a group of their own.  Copies (equal fingerprints and sizes) cost a row
-    each.  Documents without words are copies of each other.  doc_id must be unique;
+    parts in a group of their own.  Copies (equal fingerprints, sizes, parity
+    bits and prefixes) cost a row each.  Documents without words are copies of each other.  doc_id must be unique;
     rows without one are left out; other columns are ignored.  An empty table gives
     an empty one.
     """

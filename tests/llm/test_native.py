@@ -4,11 +4,12 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.llm import decontaminate as dc
-from tensorloom.llm import line_dedup, mixing, quality_rules
+from tensorloom.llm import line_dedup, mixing, quality_rules, queries
 from tensorloom.llm._common import looked_up
 
 from .conftest import SF, texts
@@ -157,6 +158,17 @@ def test_mixing(which, request):
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in rows}
 
 
+@pytest.mark.parametrize("which", ["nasty", "documents"])
+def test_mixing_sql(spark, which, request, tmp_path):
+    df = request.getfixturevalue(which)
+    df.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP10_SQL})").fetchall()
+    got = [tuple(r) for r in queries.op10_mixing(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == df.where("doc_id is not null").count()
+
+
 def test_mixing_near_target(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
