@@ -1,43 +1,57 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is trained on a bounded sample (documents and characters) of what the
-labels call good, so its tables have a proven bound and go to every task.  They
-are sorted by (first word, second word, third word) ids and cut into shards by
-n-gram; a task joins the n-grams of a batch of documents with the shards by
-binary search, and sums log probabilities per document, so no n-gram of a
-document is shuffled.  Thresholds are quantiles per language over all trusted
-documents that the model was not trained on.
+The model is trained on all that the labels call good, but for a part that is kept
+out for thresholds, and its tables are sharded: no task holds more of it than a
+shard.  Rows that move are blocks' (some MB of text), not n-grams:
+
+1. Blocks ask shards for ids of their distinct words; words that the training texts
+   have get one, by frequency, and all others are the unknown word.
+2. Blocks send the counts of their training texts' trigrams to shards by the first
+   two words.  From the distinct trigrams shards send on how many words stand
+   before each pair, and from the distinct pairs what follows and precedes each word.
+3. Blocks ask the shards for their distinct known words, pairs and trigrams, each
+   once, in the order of the shards' keys; the answers are counts, and a block sums
+   log probabilities per document from them.
+
+So the most frequent n-gram costs a block one entry.  Words are named by 64-bit
+hashes where they get their ids; from then on keys are exact.  Thresholds are
+quantiles per language over all trusted documents that the model was not trained on.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workers import map_arrow
-from ._common import stage
+from ..workers import map_arrow, ship
+from ._common import stage, stage_by
+from .katz import cut, pair_keys, word_keys
 from .packed import pack, pack_words, unpack, unpack_words
 from .tokens import batch_words, slices
 
-#: Bounds of the training sample.
-MAX_DOCS, MAX_CHARS = 4_000, 4_000_000
 #: Of the trusted documents, one in this many is kept out of training: thresholds need texts that the model has not seen.
 HELD_OUT = 4
 QUANTILE, SLACK, LEAST_TRUSTED = 0.99, 0.25, 50
+BLOCK_BYTES = 12 << 20
+#: Tokens whose n-grams share a shard.
+SHARD_TOKENS = 2_000_000
 
 
 @dataclass
 class Model:
-    """Interpolated probabilities of the n-grams seen, and weights of the shorter context for the contexts seen.
+    """The model of texts that fit into one task, to compare the sharded one with.
 
+    Interpolated probabilities of the n-grams seen, and weights of the shorter context for the contexts seen.
     Ids: 0 an unknown word, 1 the start, 2 the end, then the words.
     """
 
@@ -55,7 +69,7 @@ class Model:
         return len(self.p1)
 
     def to_bytes(self) -> bytes:
-        """Sorted keys as steps, numbers by the place of their bytes, all compressed: some 8 MB at the default bounds."""
+        """Sorted keys as steps, numbers by the place of their bytes, all compressed."""
         numbers = {k: pack(getattr(self, k), rising=k in ("k2", "k3")) for k in ("p1", "g1", "k2", "p2", "g2", "k3", "p3")}
         return pickle.dumps(numbers | {"words": pack_words(self.words)})
 
@@ -70,7 +84,11 @@ UNKNOWN, START, END = 0, 1, 2
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D(0) = 0, D(1), D(2), D(3 and more), from how many n-grams have the counts 1 to 4; where one is missing: 0.5, 1, 1.5."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(float)
+    return discounts_of(np.bincount(np.minimum(counts, 5), minlength=6).astype(float))
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """The same, from how many n-grams have each count."""
     if not all(n[1:5]):
         return np.array([0, 0.5, 1.0, 1.5])
     y = n[1] / (n[1] + 2 * n[2])
@@ -168,82 +186,439 @@ def log_probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.nda
     return np.bincount(doc, np.log(p), len(counts)), counts
 
 
-def trusted_sample(docs: DataFrame, trusted: DataFrame, max_docs: int, max_chars: int) -> list[int]:
-    """Ids of at most max_docs trusted documents, of at most max_chars characters together, in an order fixed by a hash of doc_id.
+@dataclass
+class Totals:
+    """What one word's, context's or corpus's probabilities take beside its own counts: discounts, how many words, and the words' own sum."""
+
+    words: int
+    d1: np.ndarray
+    d2: np.ndarray
+    d3: np.ndarray
+    total1: int
+    left1: float
+
+    @classmethod
+    def of(cls, words: int, of_counts: dict[str, list[int]], total1: int) -> Totals:
+        """of_counts: of words, pairs and triples, how many have the counts 0 to 4, and 5 or more; total1: the sum of the words' counts."""
+        n1, n2, n3 = (np.array(of_counts.get(k) or [0] * 6, float) for k in ("word", "pair", "triple"))
+        d1 = discounts_of(n1)
+        lost = d1[1] * n1[1] + d1[2] * n1[2] + d1[3] * n1[3:].sum()
+        return cls(words, d1, discounts_of(n2), discounts_of(n3), total1, lost / total1 if total1 else 1.0)
+
+    def p1(self, n1: np.ndarray) -> np.ndarray:
+        """All words, the end, and one unknown share what is left."""
+        return (n1 - self.d1[np.minimum(n1, 3)]) / max(self.total1, 1) + self.left1 / (self.words + 2)
+
+
+#: Numbers that words and pairs have: their own count, and as contexts the sum of what follows and how many followers have the counts 1, 2, 3 and more.
+STATS = 5
+
+
+def left(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The mass that contexts leave to the shorter ones; 1 where a context was not seen."""
+    return np.where(stats[1] > 0, (stats[2:] * d[1:, None]).sum(axis=0) / np.maximum(stats[1], 1), 1.0)
+
+
+def context_stats(counts: np.ndarray, of: np.ndarray, contexts: int) -> np.ndarray:
+    """The last four of STATS, of contexts, from their followers' counts."""
+    out = np.zeros((STATS - 1, contexts), np.int64)
+    out[0] = np.bincount(of, counts, contexts)
+    for k in (1, 2, 3):
+        out[k] = np.bincount(of[np.minimum(counts, 3) == k], minlength=contexts)
+    return out
+
+
+def times(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, 5), minlength=6).astype(np.int64).tolist()
+
+
+LOW = 0xFFFFFFFF
 
-    The ids come from the labels alone, so only as many as the bound reach the
-    documents, which are scanned without a shuffle.
+
+def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs of ids, (first << 32 | second), are dealt out by a hash of both."""
+    return ((pair_keys(pairs.astype(np.uint64), np.uint64(7)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+class Grams:
+    """The trigrams of some texts, as word ids: a, b, c of each place, its text, and what of them a model is asked for.
+
+    Asked are pairs of known words, by shard and id (``pairs``, and ``bounds`` of
+    the shards), and for each of them the known third words (``lens`` of the pairs,
+    ``thirds``).  ``head``, ``tail`` and ``triple`` name what each place asked, or are -1.
     """
-    some = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).withColumnRenamed("doc_id", "chosen")
-    sized = docs.join(F.broadcast(some), F.col("doc_id") == F.col("chosen")).select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("place"))
-    total, ids = 0, []
-    for r in sized.orderBy("place", "doc_id").collect():  # at most max_docs rows of three numbers
-        if total + r.size <= max_chars:
-            total += r.size
-            ids.append(r.doc_id)
-    return ids
 
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> None:
+        ends = np.cumsum(counts + 3)
+        line = np.full(int(ends[-1]) if len(ends) else 0, START, np.int64)
+        begin = ends - (counts + 3)
+        inside = np.ones(len(line), bool)
+        inside[begin] = inside[begin + 1] = inside[ends - 1] = False
+        line[inside] = ids
+        line[ends - 1] = END
+        at = np.flatnonzero(line != START)
+        self.a, self.b, self.c = line[at - 2], line[at - 1], line[at]
+        self.text = np.repeat(np.arange(len(counts)), counts + 1)
+        known = line != UNKNOWN
+        ab, bc = known[at - 2] & known[at - 1], known[at - 1] & known[at]
+        asked = np.concatenate([(self.a << 32 | self.b)[ab], (self.b << 32 | self.c)[bc]])
+        pairs, which = np.unique(asked, return_inverse=True)
+        shard = shard_of(pairs, shards)
+        order = np.argsort(shard, kind="stable")
+        self.pairs = pairs[order]
+        self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.head, self.tail = np.full(len(at), -1), np.full(len(at), -1)
+        self.head[ab] = place[which[: ab.sum()]]
+        self.tail[bc] = place[which[ab.sum() :]]
+        self.triple = np.full(len(at), -1)
+        abc = ab & bc
+        codes, self.triple[abc], self.times = np.unique(self.head[abc] << 32 | self.c[abc], return_inverse=True, return_counts=True)
+        self.lens, self.thirds = np.bincount(codes >> 32, minlength=len(self.pairs)), codes & LOW
+        self.third_bounds = np.concatenate([[0], np.cumsum(self.lens)])[self.bounds]
+
+    def shards(self) -> Iterator[tuple[int, slice, slice]]:
+        """Each shard that is asked, its pairs and its thirds."""
+        for s, (i, j, k, m) in enumerate(zip(self.bounds[:-1], self.bounds[1:], self.third_bounds[:-1], self.third_bounds[1:], strict=True)):
+            if j > i:
+                yield s, slice(i, j), slice(k, m)
+
+
+def to_blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents to blocks: ids, languages, numbers of words, the distinct words, and the words as indexes, the most frequent first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 24
+        for number, batch in enumerate(slices(batches, "text", block_bytes)):
+            words, index, counts = batch_words(batch.column("text"))
+            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            out = [first + number, pack(batch.column("doc_id").to_numpy()), batch.column("lang").to_pylist(), pack(counts.astype("<u4")), pack_words(words.take(pa.array(order))), pack(rank[index].astype("<u4")), int(counts.sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, BLOCK, strict=True)], schema=BLOCK)
+
+    return run
+
+
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("langs", pa.list_(pa.string())), ("counts", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary()), ("n", pa.int64())])
+BLOCK_DDL = "block long, ids binary, langs array<string>, counts binary, words binary, tokens binary, n long"
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each document stands: doc_id, block, place."""
+    for row in rows_of(batches):
+        ids = unpack(row["ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids), dtype=np.int32))], names=["doc_id", "block", "place"])
+
+
+def in_training(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of a block's trusted documents, and of those of them that the model is trained on."""
+    ids = unpack(row["ids"])
+    trusted = np.zeros(len(ids), bool)
+    trusted[np.array(row["trusted"] or [], np.int64)] = True
+    return trusted, trusted & np.array([zlib.crc32(str(d).encode()) % HELD_OUT != 0 for d in ids.tolist()], bool)
 
-def trained(docs: DataFrame, ids: DataFrame) -> bytes:
-    """The model of the documents with these ids (a bounded table, ``chosen``), trained in one task, as bytes."""
+
+def hashed(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a block's words in order, and which of them each word has."""
+    return np.unique(word_keys(unpack_words(words)), return_inverse=True)
+
+
+ASK = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("thirds", pa.binary()), ("counts", pa.binary()), ("of_counts", pa.list_(pa.int64())), ("total", pa.int64())])
+ASK_DDL = "kind string, shard int, block long, keys binary, lens binary, thirds binary, counts binary, of_counts array<long>, total long"
+
+
+def ask_words(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks' distinct words, and how often the training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([train(texts).to_bytes()], pa.binary())], names=["model"])
+        for row in rows_of(batches):
+            keys, which = hashed(row["words"])
+            _, used = in_training(row)
+            tokens = unpack(row["tokens"])[np.repeat(used, unpack(row["counts"]).astype(np.int64))]
+            counts = np.bincount(which[tokens], minlength=len(keys))
+            at = cut(keys, shards)
+            yield from table_of([("word", s, row["block"], pack(keys[i:j], rising=True), None, None, pack(counts[i:j].astype("<u4")), None, 0) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], ASK)
 
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen")).select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id")
-    rows = map_arrow(sample.select("text"), run, "model binary").collect()
-    return bytes(rows[0].model) if rows else train([]).to_bytes()
+    return run
 
 
-_models: dict[int, Model] = {}
+def named(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A shard gives ids to the words that the training texts have, small ones to the frequent, and answers each block with them; others are unknown."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        keys = [unpack(x, rising=True) for x in group["keys"]]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(which, np.concatenate([unpack(x) for x in group["counts"]]), len(distinct))
+        order = np.argsort(-sums, kind="stable")[: int((sums > 0).sum())]
+        ids = np.full(len(distinct), UNKNOWN, np.int64)
+        ids[order] = 3 + np.arange(len(order)) * shards + int(group["shard"].iloc[0])
+        if len(ids) and ids.max() >= 1 << 31:
+            raise ValueError("more than 2**31 distinct words in the training texts")
+        ends = np.cumsum([len(k) for k in keys])
+        out = [(int(s), int(b), pack(ids[which[e - len(k) : e]]), 0) for s, b, k, e in zip(group["shard"], group["block"], keys, ends, strict=True)]
+        return pd.DataFrame([*out, (int(group["shard"].iloc[0]), -1, None, len(order))], columns=["shard", "block", "ids", "known"])
 
-def model_of(sent: Broadcast) -> Model:
-    """Unpacked once for each worker."""
-    key = hash(sent.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model.from_bytes(sent.value)
-    return _models[key]
+    return run
 
 
-def scored(docs: DataFrame, model: bytes, keep: list[str], batch_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, the columns in keep, n_tokens (words and the end), log_probability."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select("doc_id", *keep)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+def name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a block's words, in the words' order."""
+    for row in rows_of(batches):
+        _, which = hashed(row["words"])
+        ids = np.concatenate([*(unpack(a["ids"]) for a in sorted(row["answers"] or [], key=lambda a: a["shard"])), np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([pack(ids[which])], pa.binary()), pa.array([row["trusted"]], pa.list_(pa.int32()))], names=["block", "names", "trusted"])
+
+
+def train_grams(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trigrams of the training texts and their counts, by shard of their first two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(sent)
-        for batch in slices(batches, "text", batch_bytes):
-            log_p, n = log_probabilities(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *keep]), pa.array(n + 1), pa.array(log_p)], names=["doc_id", *keep, "n_tokens", "log_probability"])
+        for row in rows_of(batches):
+            _, used = in_training(row)
+            counts = unpack(row["counts"]).astype(np.int64)
+            if used.any():
+                g = Grams(unpack(row["names"])[unpack(row["tokens"])[np.repeat(used, counts)]], counts[used], shards)
+                yield from table_of([("triple", s, row["block"], pack(g.pairs[p], rising=True), pack(g.lens[p].astype("<u4")), pack(g.thirds[t].astype("<u4")), pack(g.times[t].astype("<u4")), None, 0) for s, p, t in g.shards()], ASK)
+
+    return run
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=ASK.names)
+
+
+def _triples(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and third words that rows list."""
+    pairs = np.concatenate([np.repeat(unpack(k, rising=True), unpack(n)) for k, n in zip(rows["keys"], rows["lens"], strict=True)])
+    return pairs, np.concatenate([unpack(x) for x in rows["thirds"]]).astype(np.int64)
+
+
+def _dealt(kind: str, keys: np.ndarray, shard: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Rows of keys and their counts (a column each), one for each shard."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return [(kind, int(shard[some[0]]), -2, pack(keys[some], rising=True), None, None, pack(np.ascontiguousarray(counts[..., some]).ravel()), None, 0) for some in np.split(order, at[1:]) if len(some)]
+
+
+def count_triples(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A shard's table of trigrams (block -1), and for each pair how many different words stand before it there (after a start: counts)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pairs, thirds = _triples(group)
+        heads, which = np.unique(pairs, return_inverse=True)
+        codes, at = np.unique(which << 32 | thirds, return_inverse=True)
+        n3 = np.bincount(at, np.concatenate([unpack(x) for x in group["counts"]]), len(codes)).astype(np.int64)
+        head, third = codes >> 32, codes & LOW
+        second = heads[head] & LOW
+        tails, tail = np.unique(second << 32 | third, return_inverse=True)
+        n2 = np.bincount(tail, np.where(second == START, n3, 1), len(tails)).astype(np.int64)
+        table = ("triple", int(group["shard"].iloc[0]), -1, pack(heads, rising=True), pack(np.bincount(head, minlength=len(heads)).astype("<u4")), pack(third.astype("<u4")), pack(n3.astype("<u4")), times(n3), 0)
+        return _frame([table, *_dealt("pair", tails, shard_of(tails, shards), n2)])
 
-    return map_arrow(docs.select("doc_id", *keep, "text"), run, f"{ddl}, n_tokens long, log_probability double")
+    return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def _added(group: pd.DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the rows, and the sums of their counts."""
+    keys = [unpack(x, rising=True) for x in group["keys"]]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([unpack(x).reshape(columns, -1) for x in group["counts"]], axis=1)
+    return distinct, np.array([np.bincount(which, c, len(distinct)) for c in counts]).astype(np.int64)
+
+
+def count_pairs(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A shard's table of pairs, and what it adds to the words: how many pairs end in each, and what follows each."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pairs, (n2,) = _added(group, 1)
+        words, which = np.unique(np.concatenate([pairs >> 32, pairs & LOW]), return_inverse=True)
+        first, second = which[: len(pairs)], which[len(pairs) :]
+        stats = np.vstack([np.bincount(second, minlength=len(words)), context_stats(n2, first, len(words))])
+        table = ("pair", int(group["shard"].iloc[0]), -1, pack(pairs, rising=True), None, None, pack(n2), times(n2), 0)
+        return _frame([table, *_dealt("word", words, words % shards, stats)])
+
+    return run
+
+
+def count_words(group: pd.DataFrame) -> pd.DataFrame:
+    """A shard's table of words."""
+    words, stats = _added(group, STATS)
+    return _frame([("word", int(group["shard"].iloc[0]), -1, pack(words, rising=True), None, None, pack(stats.ravel()), times(stats[0][stats[0] > 0]), int(stats[0].sum()))])
+
+
+def ask_model(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All that a block's texts need of the model: its known words, pairs and trigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            names = unpack(row["names"])
+            g = Grams(names[unpack(row["tokens"])], unpack(row["counts"]).astype(np.int64), shards)
+            out = [("pair", s, row["block"], pack(g.pairs[p], rising=True), pack(g.lens[p].astype("<u4")), pack(g.thirds[t].astype("<u4")), None, None, 0) for s, p, t in g.shards()]
+            words = asked_words(names)
+            for s in range(shards):
+                some = words[words % shards == s]
+                if len(some):
+                    out.append(("word", s, row["block"], pack(some, rising=True), None, None, None, None, 0))
+            yield from table_of(out, ASK)
+
+    return run
+
+
+def asked_words(names: np.ndarray) -> np.ndarray:
+    """A block's known words, with the start and the end."""
+    known = np.unique(np.concatenate([names, [START, END]]))
+    return known[known != UNKNOWN]
+
+
+ANSWER_DDL = "kind string, shard int, block long, stats binary, n3 binary"
+
+
+def answer(group: pd.DataFrame) -> pd.DataFrame:
+    """What a shard's tables know of the words, or of the pairs and trigrams, that blocks ask for."""
+    asks, tables = group[group["block"] >= 0].sort_values("block"), group[group["block"] == -1]
+    keys = [unpack(x, rising=True) for x in asks["keys"]]
+    if not keys:
+        return pd.DataFrame([], columns=["kind", "shard", "block", "stats", "n3"])
+    wanted = np.concatenate(keys)
+    stats, n3 = np.zeros((STATS, len(wanted)), np.int64), None
+    of = {k: tables[tables["of"] == k].iloc[0] for k in tables["of"]}
+    if asks["kind"].iloc[0] == "word":
+        if "word" in of:
+            at = _found(unpack(of["word"]["keys"], rising=True), wanted)
+            stats = np.where(at >= 0, unpack(of["word"]["counts"]).reshape(STATS, -1)[:, at], 0)
+    else:
+        pairs, thirds = _triples(asks)
+        n3 = np.zeros(len(thirds), np.int64)
+        if "pair" in of:
+            at = _found(unpack(of["pair"]["keys"], rising=True), wanted)
+            stats[0] = _values(unpack(of["pair"]["counts"]), at)
+        if "triple" in of:
+            heads, lens = unpack(of["triple"]["keys"], rising=True), unpack(of["triple"]["lens"])
+            counts, of_head = unpack(of["triple"]["counts"]).astype(np.int64), np.repeat(np.arange(len(lens)), lens)
+            at = _found(heads, wanted)
+            stats[1:] = np.where(at >= 0, context_stats(counts, of_head, len(heads))[:, at], 0)
+            codes = of_head << 32 | unpack(of["triple"]["thirds"])
+            head = np.repeat(at, np.concatenate([unpack(x) for x in asks["lens"]]))
+            some = np.flatnonzero(head >= 0)
+            n3[some] = _values(counts, _found(codes, head[some] << 32 | thirds[some]))
+    ends = np.cumsum([len(k) for k in keys])
+    thirds_end = np.cumsum([int(unpack(x).sum()) for x in asks["lens"]]) if n3 is not None else [0] * len(ends)
+    out, before = [], 0
+    for kind, shard, block, k, e, t in zip(asks["kind"], asks["shard"], asks["block"], keys, ends, thirds_end, strict=True):
+        out.append((kind, int(shard), int(block), pack(np.ascontiguousarray(stats[:, e - len(k) : e]).ravel()), None if n3 is None else pack(n3[before:t].astype("<u4"))))
+        before = t
+    return pd.DataFrame(out, columns=["kind", "shard", "block", "stats", "n3"])
+
+
+SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("log_probability", pa.float64()), ("held", pa.bool_())])
+SCORE_DDL = "doc_id long, lang string, n_tokens long, log_probability double, held boolean"
+
+
+def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def stats_of(row: dict, kind: str) -> tuple[np.ndarray, list[dict]]:
+        answers = sorted((a for a in row["answers"] or [] if a["kind"] == kind), key=lambda a: a["shard"])
+        return np.concatenate([np.zeros((STATS, 0), np.int64), *(unpack(a["stats"]).reshape(STATS, -1) for a in answers)], axis=1), answers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            names, counts = unpack(row["names"]), unpack(row["counts"]).astype(np.int64)
+            g = Grams(names[unpack(row["tokens"])], counts, shards)
+            words = asked_words(names)
+            word_stats = np.zeros((STATS, len(words)), np.int64)
+            word_stats[:, np.argsort(words % shards, kind="stable")] = stats_of(row, "word")[0]
+            # An unknown word stands in front of the known: nothing is counted of it.
+            places = np.append(0, words)
+            p1 = np.append(totals.p1(np.zeros(1, np.int64)), totals.p1(word_stats[0]))
+            g1 = np.append(1.0, left(word_stats, totals.d2))
+            b, c = np.searchsorted(places, g.b), np.searchsorted(places, g.c)
+            pair_stats, answers = stats_of(row, "pair")
+            n3 = np.concatenate([*(unpack(a["n3"]) for a in answers), np.zeros(0, np.uint32)]).astype(np.int64)
+            n2, g2 = np.append(pair_stats[0], 0)[g.tail], np.append(left(pair_stats, totals.d3), 1.0)[g.head]
+            p = g1[b] * p1[c] + (n2 - totals.d2[np.minimum(n2, 3)]) / np.maximum(word_stats[1][b - 1] if len(words) else 0, 1)
+            n = np.append(n3, 0)[g.triple]
+            p = g2 * p + (n - totals.d3[np.minimum(n, 3)]) / np.maximum(np.append(pair_stats[1], 0)[g.head], 1)
+            trusted, used = in_training(row)
+            out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(g.text, np.log(p), len(counts)), trusted & ~used]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SCORE, strict=True)], schema=SCORE)
+
+    return run
+
+
+def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """doc_id, lang, n_tokens (words and the end), log_probability (natural), held (trusted, and not trained on) of each document.
+
+    The model is trained on all documents whose ids ``trusted`` has (each once),
+    but for one in HELD_OUT of them by crc32 of the id.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    many = max(2, own.rdd.getNumPartitions())
+    blocks = stage_by(map_arrow(own, to_blocks(block_bytes), BLOCK_DDL), "block", many)
+    shards = max(2, -(-blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // shard_tokens))
+    ids = map_arrow(blocks.select("block", "ids"), placed, "doc_id long, block long, place int")
+    good = stage(ids.join(trusted.select("doc_id"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted")))
+
+    def by_shard(df: DataFrame, keys: list[str] = ["shard"]):  # noqa: B006
+        return df.repartition(len(keys) * shards, *keys).groupBy(*keys)
+
+    # Words get ids.
+    asks = map_arrow(blocks.join(good, "block", "left"), ask_words(shards), ASK_DDL)
+    names = stage(by_shard(asks.select("shard", "block", "keys", "counts")).applyInPandas(named(shards), "shard int, block long, ids binary, known long"))
+    known = names.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n")).first().n
+    answers = names.where("block >= 0").repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
+    met = blocks.select("block", "words").join(answers.hint("shuffle_hash"), "block", "left").join(good, "block", "left")
+    ided = stage_by(map_arrow(met, name_words, "block long, names binary, trusted array<int>"), "block", many)
+    texts = blocks.select("block", "ids", "langs", "counts", "tokens").join(ided.hint("shuffle_hash"), "block")
+    # The model: trigrams, pairs by what stands before them, words by what pairs end in them.
+    triples = stage(by_shard(map_arrow(texts, train_grams(shards), ASK_DDL)).applyInPandas(count_triples(shards), ASK_DDL))
+    pairs = stage(by_shard(triples.where("kind = 'pair'")).applyInPandas(count_pairs(shards), ASK_DDL))
+    words = stage(by_shard(pairs.where("kind = 'word'")).applyInPandas(count_words, ASK_DDL))
+    tables = [t.where(f"block = -1 and kind = '{k}'").withColumn("of", F.lit(k)) for k, t in (("triple", triples), ("pair", pairs), ("word", words))]
+    model = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    sums = model.groupBy("of").agg(F.array(*[F.sum(F.get("of_counts", F.lit(i))) for i in range(6)]).alias("of_counts"), F.sum("total").alias("total")).collect()  # three rows
+    totals = Totals.of(known, {r.of: list(r.of_counts) for r in sums}, sum(r.total for r in sums))
+    # The blocks ask for what they have.
+    asks = map_arrow(texts, ask_model(shards), ASK_DDL).withColumn("of", F.lit(None).cast("string"))
+    both = asks.unionByName(model.withColumn("kind", F.when(F.col("of") == "word", "word").otherwise("pair"))).drop("of_counts", "total")
+    told = by_shard(both, ["kind", "shard"]).applyInPandas(answer, ANSWER_DDL)
+    answers = told.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "stats", "n3")).alias("answers"))
+    return map_arrow(texts.join(answers.hint("shuffle_hash"), "block"), evaluated(totals, shards), SCORE_DDL)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold, kept for each document.
 
     docs needs doc_id, text, lang; labels doc_id, quality, toxic.  Trusted is what
-    the labels call good and not toxic (a null label is not).  The threshold of a
-    language is exp(q + slack + 3 / sqrt(n)), q being the given quantile, to a
-    thousandth, of log perplexity over its trusted documents outside the training
-    sample, or over those of all languages where it has fewer than 50, and n the
-    document's tokens, as the mean of few wanders more; without any trusted document
-    all documents with words are kept.  A null language is a language.  Documents
-    without words (null, empty, blank) are not kept.  Rows with a null doc_id are
-    left out; repeated labels count once; an empty table gives an empty one.
+    the labels call good and not toxic (a null label is not).  The model is trained
+    on all trusted documents but for one in HELD_OUT by crc32 of the id.  The
+    threshold of a language is exp(q + slack + 3 / sqrt(n)), q being the given
+    quantile, to a thousandth, of log perplexity over its trusted documents that the
+    model was not trained on, or over those of all languages where it has fewer than
+    50, and n the document's tokens, as the mean of few wanders more; without any
+    such document all documents with words are kept.  A null language is a language.
+    Documents without words (null, empty, blank) are not kept.  Rows with a null
+    doc_id are left out; repeated labels count once; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull())
     trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    sample = trusted_sample(own, trusted.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT)) != 0), max_docs, max_chars)
-    used = spark.createDataFrame([(d,) for d in sample], "chosen long")
-    scores = stage(scored(own, trained(own, used), ["lang"]))
+    scores = stage(scored(own, trusted, block_bytes, shard_tokens))
     scores = scores.withColumn("level", -F.col("log_probability") / F.col("n_tokens"))
-    held = scores.where("n_tokens > 1").join(trusted, "doc_id", "left_semi").join(F.broadcast(used), F.col("doc_id") == F.col("chosen"), "left_anti")
+    held = scores.where("held and n_tokens > 1")
     # A histogram in steps of a thousandth: as many rows as levels, whatever the input, and the same in every run.
     steps = held.groupBy("lang", F.ceil(F.col("level") * 1000).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     every = steps.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "step", "n", F.lit(True).alias("all"))

@@ -1,6 +1,7 @@
 """Modified Kneser-Ney: normalisation, a plain evaluation, the classifier's decisions."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,6 +74,32 @@ def test_decisions(spark):
     assert share[1] > 0.99 and share[0] < 0.5
 
 
+def test_sharded(spark):
+    """Small blocks and shards give what a model of all training texts gives, in one task; the last blocks' documents have tokens that shards know nothing of."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trusted = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in trusted.collect()} & text.keys()
+    used = {d for d in good if zlib.crc32(str(d).encode()) % kn.HELD_OUT}
+    want, n = kn.log_probabilities(kn.train([text[d] for d in sorted(used)]), pa.array(list(text.values()), pa.large_string()))
+    got = {r.doc_id: r for r in kn.scored(docs.repartition(3), trusted, block_bytes=100_000, shard_tokens=20_000).collect()}
+    assert len(got) == len(text) and {d for d, r in got.items() if r.held} == good - used
+    for d, w, k in zip(text, want, n, strict=True):
+        assert got[d].n_tokens == k + 1 and math.isclose(got[d].log_probability, w, rel_tol=1e-5)
+
+
+def test_all_trusted_count(spark):
+    """More trusted documents than a former bound of 4,000: each of them is learned from."""
+    rows = [(d, "en", f"shared words and w{d} here") for d in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    labels = spark.createDataFrame([(d, 1, 0) for d, _, _ in rows], "doc_id long, quality int, toxic int")
+    used = [t for d, _, t in rows if zlib.crc32(str(d).encode()) % 4]
+    assert len(used) > 4_000
+    log_p, n = kn.log_probabilities(kn.train(used), pa.array([t for _, _, t in rows], pa.large_string()))
+    got = {r.doc_id: r.perplexity for r in kn.classify(docs, labels).collect()}
+    assert all(math.isclose(got[d], math.exp(-p / (k + 1)), rel_tol=1e-5) for (d, _, _), p, k in zip(rows, log_p, n, strict=True))
+
+
 def test_edges(spark, nasty, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (3, None, 0), (None, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
     rows = {r.doc_id: r for r in kn.classify(nasty, labels).collect()}
