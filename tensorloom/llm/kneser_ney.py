@@ -152,8 +152,8 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _values(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """values[at], and 0 at -1."""
-    return np.append(values, values.dtype.type(0))[at]
+    """values[..., at], and 0 at -1."""
+    return np.concatenate([values, np.zeros((*values.shape[:-1], 1), values.dtype)], axis=-1)[..., at]
 
 
 def log_probabilities(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +198,12 @@ class Totals:
     left1: float
 
     @classmethod
-    def of(cls, words: int, of_counts: dict[str, list[int]], total1: int) -> Totals:
+    def of(cls, of_counts: dict[str, list[int]], total1: int) -> Totals:
         """of_counts: of words, pairs and triples, how many have the counts 0 to 4, and 5 or more; total1: the sum of the words' counts."""
         n1, n2, n3 = (np.array(of_counts.get(k) or [0] * 6, float) for k in ("word", "pair", "triple"))
         d1 = discounts_of(n1)
         lost = d1[1] * n1[1] + d1[2] * n1[2] + d1[3] * n1[3:].sum()
+        words = max(int(n1.sum()) - 1, 0)  # the end has a count, too
         return cls(words, d1, discounts_of(n2), discounts_of(n3), total1, lost / total1 if total1 else 1.0)
 
     def p1(self, n1: np.ndarray) -> np.ndarray:
@@ -235,13 +236,43 @@ def times(counts: np.ndarray) -> list[int]:
 LOW = 0xFFFFFFFF
 
 
-def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
-    """Pairs of ids, (first << 32 | second), are dealt out by a hash of both."""
-    return ((pair_keys(pairs.astype(np.uint64), np.uint64(7)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def turned(first: np.ndarray, shards: int) -> np.ndarray:
+    return ((pair_keys(first.astype(np.uint64), np.uint64(7)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Pairs of ids, (first << 32 | second), are dealt out by the second, each first word beginning at another shard.  A word is a pair without a first."""
+    return (turned(keys >> 32, shards) + (keys & LOW)) % shards
+
+
+def pack_keys(keys: np.ndarray, shards: int) -> bytes:
+    """Keys of one shard in order, without what the shard says of the second id, so that more shards don't make steps larger."""
+    return pack(keys >> 32 << 32 | (keys & LOW) // shards, rising=True)
+
+
+def unpack_keys(data: bytes, shard: int, shards: int) -> np.ndarray:
+    keys = unpack(data, rising=True)
+    first = keys >> 32
+    return first << 32 | (keys & LOW) * shards + (shard - turned(first, shards)) % shards
+
+
+def pack_thirds(thirds: np.ndarray, lens: np.ndarray) -> bytes:
+    """Third words by pair, rising in each, as steps."""
+    steps = np.diff(thirds, prepend=0)
+    starts = (np.cumsum(lens) - lens)[lens > 0]
+    steps[starts] = thirds[starts]
+    return pack(steps.astype("<u4"))
+
+
+def unpack_thirds(data: bytes, lens: np.ndarray) -> np.ndarray:
+    steps, some = unpack(data).astype(np.int64), lens[lens > 0].astype(np.int64)
+    sums = np.cumsum(steps)
+    starts = np.cumsum(some) - some
+    return sums - np.repeat((sums - steps)[starts], some)
 
 
 class Grams:
-    """The trigrams of some texts, as word ids: a, b, c of each place, its text, and what of them a model is asked for.
+    """The trigrams of some texts, as word ids: b, c of each place, and what of them a model is asked for.
 
     Asked are pairs of known words, by shard and id (``pairs``, and ``bounds`` of
     the shards), and for each of them the known third words (``lens`` of the pairs,
@@ -257,15 +288,15 @@ class Grams:
         line[inside] = ids
         line[ends - 1] = END
         at = np.flatnonzero(line != START)
-        self.a, self.b, self.c = line[at - 2], line[at - 1], line[at]
-        self.text = np.repeat(np.arange(len(counts)), counts + 1)
+        a, self.b, self.c = line[at - 2], line[at - 1], line[at]
         known = line != UNKNOWN
         ab, bc = known[at - 2] & known[at - 1], known[at - 1] & known[at]
-        asked = np.concatenate([(self.a << 32 | self.b)[ab], (self.b << 32 | self.c)[bc]])
+        asked = np.concatenate([(a[ab] << 32 | self.b[ab]), (self.b[bc] << 32 | self.c[bc])])
         pairs, which = np.unique(asked, return_inverse=True)
         shard = shard_of(pairs, shards)
         order = np.argsort(shard, kind="stable")
         self.pairs = pairs[order]
+        del asked, pairs, line, a
         self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -369,8 +400,8 @@ def named(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if len(ids) and ids.max() >= 1 << 31:
             raise ValueError("more than 2**31 distinct words in the training texts")
         ends = np.cumsum([len(k) for k in keys])
-        out = [(int(s), int(b), pack(ids[which[e - len(k) : e]]), 0) for s, b, k, e in zip(group["shard"], group["block"], keys, ends, strict=True)]
-        return pd.DataFrame([*out, (int(group["shard"].iloc[0]), -1, None, len(order))], columns=["shard", "block", "ids", "known"])
+        out = [(int(s), int(b), pack(ids[which[e - len(k) : e]].astype("<u4"))) for s, b, k, e in zip(group["shard"], group["block"], keys, ends, strict=True)]
+        return pd.DataFrame(out, columns=["shard", "block", "ids"])
 
     return run
 
@@ -379,8 +410,8 @@ def name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of a block's words, in the words' order."""
     for row in rows_of(batches):
         _, which = hashed(row["words"])
-        ids = np.concatenate([*(unpack(a["ids"]) for a in sorted(row["answers"] or [], key=lambda a: a["shard"])), np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([pack(ids[which])], pa.binary()), pa.array([row["trusted"]], pa.list_(pa.int32()))], names=["block", "names", "trusted"])
+        ids = np.concatenate([*(unpack(a["ids"]) for a in sorted(row["answers"] or [], key=lambda a: a["shard"])), np.zeros(0, "<u4")])
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([pack(ids[which].astype("<u4"))], pa.binary()), pa.array([row["trusted"]], pa.list_(pa.int32()))], names=["block", "names", "trusted"])
 
 
 def train_grams(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -392,7 +423,7 @@ def train_grams(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             counts = unpack(row["counts"]).astype(np.int64)
             if used.any():
                 g = Grams(unpack(row["names"])[unpack(row["tokens"])[np.repeat(used, counts)]], counts[used], shards)
-                yield from table_of([("triple", s, row["block"], pack(g.pairs[p], rising=True), pack(g.lens[p].astype("<u4")), pack(g.thirds[t].astype("<u4")), pack(g.times[t].astype("<u4")), None, 0) for s, p, t in g.shards()], ASK)
+                yield from table_of([("triple", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), pack(g.times[t].astype("<u4")), None, 0) for s, p, t in g.shards()], ASK)
 
     return run
 
@@ -401,41 +432,46 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=ASK.names)
 
 
-def _triples(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs and third words that rows list."""
-    pairs = np.concatenate([np.repeat(unpack(k, rising=True), unpack(n)) for k, n in zip(rows["keys"], rows["lens"], strict=True)])
-    return pairs, np.concatenate([unpack(x) for x in rows["thirds"]]).astype(np.int64)
+def _keys(rows: pd.DataFrame, shards: int) -> list[np.ndarray]:
+    return [unpack_keys(k, s, shards) for k, s in zip(rows["keys"], rows["shard"], strict=True)]
+
 
+def _thirds(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many third words each pair has that rows list, and these."""
+    lens = [unpack(x) for x in rows["lens"]]
+    return np.concatenate(lens), np.concatenate([unpack_thirds(x, n) for x, n in zip(rows["thirds"], lens, strict=True)])
 
-def _dealt(kind: str, keys: np.ndarray, shard: np.ndarray, counts: np.ndarray) -> list[tuple]:
-    """Rows of keys and their counts (a column each), one for each shard."""
+
+def _dealt(kind: str, keys: np.ndarray, shards: int, counts: np.ndarray | None = None, block: int = -2) -> list[tuple]:
+    """Rows of keys (in order) and their counts (a column each), one for each shard."""
+    shard = shard_of(keys, shards)
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    return [(kind, int(shard[some[0]]), -2, pack(keys[some], rising=True), None, None, pack(np.ascontiguousarray(counts[..., some]).ravel()), None, 0) for some in np.split(order, at[1:]) if len(some)]
+    return [(kind, int(shard[some[0]]), block, pack_keys(keys[some], shards), None, None, None if counts is None else pack(np.ascontiguousarray(counts[..., some]).ravel()), None, 0) for some in np.split(order, at[1:]) if len(some)]
 
 
 def count_triples(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A shard's table of trigrams (block -1), and for each pair how many different words stand before it there (after a start: counts)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        pairs, thirds = _triples(group)
-        heads, which = np.unique(pairs, return_inverse=True)
+        lens, thirds = _thirds(group)
+        heads, which = np.unique(np.repeat(np.concatenate(_keys(group, shards)), lens), return_inverse=True)
         codes, at = np.unique(which << 32 | thirds, return_inverse=True)
         n3 = np.bincount(at, np.concatenate([unpack(x) for x in group["counts"]]), len(codes)).astype(np.int64)
         head, third = codes >> 32, codes & LOW
         second = heads[head] & LOW
         tails, tail = np.unique(second << 32 | third, return_inverse=True)
         n2 = np.bincount(tail, np.where(second == START, n3, 1), len(tails)).astype(np.int64)
-        table = ("triple", int(group["shard"].iloc[0]), -1, pack(heads, rising=True), pack(np.bincount(head, minlength=len(heads)).astype("<u4")), pack(third.astype("<u4")), pack(n3.astype("<u4")), times(n3), 0)
-        return _frame([table, *_dealt("pair", tails, shard_of(tails, shards), n2)])
+        lens = np.bincount(head, minlength=len(heads))
+        table = ("triple", int(group["shard"].iloc[0]), -1, pack_keys(heads, shards), pack(lens.astype("<u4")), pack_thirds(third, lens), pack(n3.astype("<u4")), times(n3), 0)
+        return _frame([table, *_dealt("pair", tails, shards, n2)])
 
     return run
 
 
-def _added(group: pd.DataFrame, columns: int) -> tuple[np.ndarray, np.ndarray]:
+def _added(group: pd.DataFrame, columns: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the rows, and the sums of their counts."""
-    keys = [unpack(x, rising=True) for x in group["keys"]]
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, which = np.unique(np.concatenate(_keys(group, shards)), return_inverse=True)
     counts = np.concatenate([unpack(x).reshape(columns, -1) for x in group["counts"]], axis=1)
     return distinct, np.array([np.bincount(which, c, len(distinct)) for c in counts]).astype(np.int64)
 
@@ -444,20 +480,24 @@ def count_pairs(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A shard's table of pairs, and what it adds to the words: how many pairs end in each, and what follows each."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        pairs, (n2,) = _added(group, 1)
+        pairs, (n2,) = _added(group, 1, shards)
         words, which = np.unique(np.concatenate([pairs >> 32, pairs & LOW]), return_inverse=True)
         first, second = which[: len(pairs)], which[len(pairs) :]
         stats = np.vstack([np.bincount(second, minlength=len(words)), context_stats(n2, first, len(words))])
-        table = ("pair", int(group["shard"].iloc[0]), -1, pack(pairs, rising=True), None, None, pack(n2), times(n2), 0)
-        return _frame([table, *_dealt("word", words, words % shards, stats)])
+        table = ("pair", int(group["shard"].iloc[0]), -1, pack_keys(pairs, shards), None, None, pack(n2), times(n2), 0)
+        return _frame([table, *_dealt("word", words, shards, stats)])
 
     return run
 
 
-def count_words(group: pd.DataFrame) -> pd.DataFrame:
+def count_words(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A shard's table of words."""
-    words, stats = _added(group, STATS)
-    return _frame([("word", int(group["shard"].iloc[0]), -1, pack(words, rising=True), None, None, pack(stats.ravel()), times(stats[0][stats[0] > 0]), int(stats[0].sum()))])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        words, stats = _added(group, STATS, shards)
+        return _frame([("word", int(group["shard"].iloc[0]), -1, pack_keys(words, shards), None, None, pack(stats.ravel()), times(stats[0][stats[0] > 0]), int(stats[0].sum()))])
+
+    return run
 
 
 def ask_model(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -465,15 +505,11 @@ def ask_model(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            names = unpack(row["names"])
+            names = unpack(row["names"]).astype(np.int64)
             g = Grams(names[unpack(row["tokens"])], unpack(row["counts"]).astype(np.int64), shards)
-            out = [("pair", s, row["block"], pack(g.pairs[p], rising=True), pack(g.lens[p].astype("<u4")), pack(g.thirds[t].astype("<u4")), None, None, 0) for s, p, t in g.shards()]
+            out = [("pair", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), None, None, 0) for s, p, t in g.shards()]
             words = asked_words(names)
-            for s in range(shards):
-                some = words[words % shards == s]
-                if len(some):
-                    out.append(("word", s, row["block"], pack(some, rising=True), None, None, None, None, 0))
-            yield from table_of(out, ASK)
+            yield from table_of([*out, *_dealt("word", words, shards, block=row["block"])], ASK)
 
     return run
 
@@ -487,41 +523,44 @@ def asked_words(names: np.ndarray) -> np.ndarray:
 ANSWER_DDL = "kind string, shard int, block long, stats binary, n3 binary"
 
 
-def answer(group: pd.DataFrame) -> pd.DataFrame:
+def answer(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """What a shard's tables know of the words, or of the pairs and trigrams, that blocks ask for."""
-    asks, tables = group[group["block"] >= 0].sort_values("block"), group[group["block"] == -1]
-    keys = [unpack(x, rising=True) for x in asks["keys"]]
-    if not keys:
-        return pd.DataFrame([], columns=["kind", "shard", "block", "stats", "n3"])
-    wanted = np.concatenate(keys)
-    stats, n3 = np.zeros((STATS, len(wanted)), np.int64), None
-    of = {k: tables[tables["of"] == k].iloc[0] for k in tables["of"]}
-    if asks["kind"].iloc[0] == "word":
-        if "word" in of:
-            at = _found(unpack(of["word"]["keys"], rising=True), wanted)
-            stats = np.where(at >= 0, unpack(of["word"]["counts"]).reshape(STATS, -1)[:, at], 0)
-    else:
-        pairs, thirds = _triples(asks)
-        n3 = np.zeros(len(thirds), np.int64)
-        if "pair" in of:
-            at = _found(unpack(of["pair"]["keys"], rising=True), wanted)
-            stats[0] = _values(unpack(of["pair"]["counts"]), at)
-        if "triple" in of:
-            heads, lens = unpack(of["triple"]["keys"], rising=True), unpack(of["triple"]["lens"])
-            counts, of_head = unpack(of["triple"]["counts"]).astype(np.int64), np.repeat(np.arange(len(lens)), lens)
-            at = _found(heads, wanted)
-            stats[1:] = np.where(at >= 0, context_stats(counts, of_head, len(heads))[:, at], 0)
-            codes = of_head << 32 | unpack(of["triple"]["thirds"])
-            head = np.repeat(at, np.concatenate([unpack(x) for x in asks["lens"]]))
-            some = np.flatnonzero(head >= 0)
-            n3[some] = _values(counts, _found(codes, head[some] << 32 | thirds[some]))
-    ends = np.cumsum([len(k) for k in keys])
-    thirds_end = np.cumsum([int(unpack(x).sum()) for x in asks["lens"]]) if n3 is not None else [0] * len(ends)
-    out, before = [], 0
-    for kind, shard, block, k, e, t in zip(asks["kind"], asks["shard"], asks["block"], keys, ends, thirds_end, strict=True):
-        out.append((kind, int(shard), int(block), pack(np.ascontiguousarray(stats[:, e - len(k) : e]).ravel()), None if n3 is None else pack(n3[before:t].astype("<u4"))))
-        before = t
-    return pd.DataFrame(out, columns=["kind", "shard", "block", "stats", "n3"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asks, tables = group[group["block"] >= 0].sort_values("block"), group[group["block"] == -1]
+        keys = _keys(asks, shards)
+        if not keys:
+            return pd.DataFrame([], columns=["kind", "shard", "block", "stats", "n3"])
+        wanted = np.concatenate(keys)
+        kind, shard = asks["kind"].iloc[0], int(asks["shard"].iloc[0])
+        stats, n3 = np.zeros((STATS, len(wanted)), np.int64), None
+        of = {k: tables[tables["of"] == k] for k in tables["of"]}
+        if kind == "word":
+            if "word" in of:
+                at = _found(_keys(of["word"], shards)[0], wanted)
+                stats = _values(unpack(of["word"]["counts"].iloc[0]).reshape(STATS, -1), at)
+        else:
+            asked_lens, thirds = _thirds(asks)
+            n3 = np.zeros(len(thirds), np.int64)
+            if "pair" in of:
+                stats[0] = _values(unpack(of["pair"]["counts"].iloc[0]), _found(_keys(of["pair"], shards)[0], wanted))
+            if "triple" in of:
+                (heads,), (lens, known) = _keys(of["triple"], shards), _thirds(of["triple"])
+                counts, of_head = unpack(of["triple"]["counts"].iloc[0]).astype(np.int64), np.repeat(np.arange(len(lens)), lens)
+                at = _found(heads, wanted)
+                stats[1:] = _values(context_stats(counts, of_head, len(heads)), at)
+                head = np.repeat(at, asked_lens)
+                some = np.flatnonzero(head >= 0)
+                n3[some] = _values(counts, _found(of_head << 32 | known, head[some] << 32 | thirds[some]))
+            third_ends = np.concatenate([[0], np.cumsum(asked_lens, dtype=np.int64)])
+        out, before = [], 0
+        for block, k in zip(asks["block"], keys, strict=True):
+            end = before + len(k)
+            out.append((kind, shard, int(block), pack(np.ascontiguousarray(stats[:, before:end]).ravel()), None if n3 is None else pack(n3[third_ends[before] : third_ends[end]].astype("<u4"))))
+            before = end
+        return pd.DataFrame(out, columns=["kind", "shard", "block", "stats", "n3"])
+
+    return run
 
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("log_probability", pa.float64()), ("held", pa.bool_())])
@@ -535,11 +574,11 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            names, counts = unpack(row["names"]), unpack(row["counts"]).astype(np.int64)
+            names, counts = unpack(row["names"]).astype(np.int64), unpack(row["counts"]).astype(np.int64)
             g = Grams(names[unpack(row["tokens"])], counts, shards)
             words = asked_words(names)
             word_stats = np.zeros((STATS, len(words)), np.int64)
-            word_stats[:, np.argsort(words % shards, kind="stable")] = stats_of(row, "word")[0]
+            word_stats[:, np.argsort(shard_of(words, shards), kind="stable")] = stats_of(row, "word")[0]
             # An unknown word stands in front of the known: nothing is counted of it.
             places = np.append(0, words)
             p1 = np.append(totals.p1(np.zeros(1, np.int64)), totals.p1(word_stats[0]))
@@ -552,7 +591,7 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             n = np.append(n3, 0)[g.triple]
             p = g2 * p + (n - totals.d3[np.minimum(n, 3)]) / np.maximum(np.append(pair_stats[1], 0)[g.head], 1)
             trusted, used = in_training(row)
-            out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(g.text, np.log(p), len(counts)), trusted & ~used]
+            out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(np.repeat(np.arange(len(counts)), counts + 1), np.log(p), len(counts)), trusted & ~used]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SCORE, strict=True)], schema=SCORE)
 
     return run
@@ -578,24 +617,23 @@ def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES,
 
     # Words get ids.
     asks = map_arrow(blocks.join(good, "block", "left"), ask_words(shards), ASK_DDL)
-    names = stage(by_shard(asks.select("shard", "block", "keys", "counts")).applyInPandas(named(shards), "shard int, block long, ids binary, known long"))
-    known = names.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n")).first().n
-    answers = names.where("block >= 0").repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
+    names = by_shard(asks.select("shard", "block", "keys", "counts")).applyInPandas(named(shards), "shard int, block long, ids binary")
+    answers = names.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
     met = blocks.select("block", "words").join(answers.hint("shuffle_hash"), "block", "left").join(good, "block", "left")
     ided = stage_by(map_arrow(met, name_words, "block long, names binary, trusted array<int>"), "block", many)
     texts = blocks.select("block", "ids", "langs", "counts", "tokens").join(ided.hint("shuffle_hash"), "block")
     # The model: trigrams, pairs by what stands before them, words by what pairs end in them.
     triples = stage(by_shard(map_arrow(texts, train_grams(shards), ASK_DDL)).applyInPandas(count_triples(shards), ASK_DDL))
     pairs = stage(by_shard(triples.where("kind = 'pair'")).applyInPandas(count_pairs(shards), ASK_DDL))
-    words = stage(by_shard(pairs.where("kind = 'word'")).applyInPandas(count_words, ASK_DDL))
+    words = stage(by_shard(pairs.where("kind = 'word'")).applyInPandas(count_words(shards), ASK_DDL))
     tables = [t.where(f"block = -1 and kind = '{k}'").withColumn("of", F.lit(k)) for k, t in (("triple", triples), ("pair", pairs), ("word", words))]
     model = tables[0].unionByName(tables[1]).unionByName(tables[2])
     sums = model.groupBy("of").agg(F.array(*[F.sum(F.get("of_counts", F.lit(i))) for i in range(6)]).alias("of_counts"), F.sum("total").alias("total")).collect()  # three rows
-    totals = Totals.of(known, {r.of: list(r.of_counts) for r in sums}, sum(r.total for r in sums))
+    totals = Totals.of({r.of: list(r.of_counts) for r in sums}, sum(r.total for r in sums))
     # The blocks ask for what they have.
     asks = map_arrow(texts, ask_model(shards), ASK_DDL).withColumn("of", F.lit(None).cast("string"))
     both = asks.unionByName(model.withColumn("kind", F.when(F.col("of") == "word", "word").otherwise("pair"))).drop("of_counts", "total")
-    told = by_shard(both, ["kind", "shard"]).applyInPandas(answer, ANSWER_DDL)
+    told = by_shard(both, ["kind", "shard"]).applyInPandas(answer(shards), ANSWER_DDL)
     answers = told.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "stats", "n3")).alias("answers"))
     return map_arrow(texts.join(answers.hint("shuffle_hash"), "block"), evaluated(totals, shards), SCORE_DDL)
 
