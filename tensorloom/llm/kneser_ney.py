@@ -281,31 +281,37 @@ class Grams:
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> None:
         ends = np.cumsum(counts + 3)
-        line = np.full(int(ends[-1]) if len(ends) else 0, START, np.int64)
+        line = np.full(int(ends[-1]) if len(ends) else 0, START, np.int32)
         begin = ends - (counts + 3)
         inside = np.ones(len(line), bool)
         inside[begin] = inside[begin + 1] = inside[ends - 1] = False
         line[inside] = ids
         line[ends - 1] = END
-        at = np.flatnonzero(line != START)
-        a, self.b, self.c = line[at - 2], line[at - 1], line[at]
+        at = np.flatnonzero(line != START).astype(np.int32)
+        self.b, self.c = line[at - 1], line[at]
+        # Each place's pair with the one before it, once: it is the tail of one trigram and the head of the next.
         known = line != UNKNOWN
-        ab, bc = known[at - 2] & known[at - 1], known[at - 1] & known[at]
-        asked = np.concatenate([(a[ab] << 32 | self.b[ab]), (self.b[bc] << 32 | self.c[bc])])
-        pairs, which = np.unique(asked, return_inverse=True)
+        known[1:] &= known[:-1].copy()
+        known[begin] = False
+        ends_pair = np.flatnonzero(known).astype(np.int32)
+        del inside, known
+        pairs, which = np.unique(line[ends_pair - 1].astype(np.int64) << 32 | line[ends_pair], return_inverse=True)
         shard = shard_of(pairs, shards)
         order = np.argsort(shard, kind="stable")
         self.pairs = pairs[order]
-        del asked, pairs, line, a
         self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        self.head, self.tail = np.full(len(at), -1), np.full(len(at), -1)
-        self.head[ab] = place[which[: ab.sum()]]
-        self.tail[bc] = place[which[ab.sum() :]]
-        self.triple = np.full(len(at), -1)
-        abc = ab & bc
-        codes, self.triple[abc], self.times = np.unique(self.head[abc] << 32 | self.c[abc], return_inverse=True, return_counts=True)
+        pair_at = np.full(len(line), -1, np.int32)
+        pair_at[ends_pair] = place[which]
+        del line, ends_pair, pairs, which, shard, order, place
+        self.head, self.tail = pair_at[at - 1], pair_at[at]
+        del pair_at, at
+        self.triple = np.full(len(self.c), -1, np.int32)
+        abc = np.flatnonzero((self.head >= 0) & (self.tail >= 0)).astype(np.int32)
+        codes, which, self.times = np.unique(self.head[abc].astype(np.int64) << 32 | self.c[abc], return_inverse=True, return_counts=True)
+        self.triple[abc] = which
+        del abc, which
         self.lens, self.thirds = np.bincount(codes >> 32, minlength=len(self.pairs)), codes & LOW
         self.third_bounds = np.concatenate([[0], np.cumsum(self.lens)])[self.bounds]
 

@@ -1,6 +1,7 @@
 """Modified Kneser-Ney: normalisation, a plain evaluation, the classifier's decisions."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,29 @@ def test_sharded(spark):
         assert got[d].n_tokens == k + 1 and math.isclose(got[d].log_probability, w, rel_tol=1e-5)
 
 
+def test_grams_memory():
+    """A block's trigrams take at most 80 bytes a token on the way and 40 when done, so that two blocks fit beside an executor's heap."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 400, 2_000)
+    ids = np.minimum(rng.zipf(1.3, int(counts.sum())), 100_000)
+    ids = np.where(ids % 7 == 0, kn.UNKNOWN, ids + 2)
+    tracemalloc.start()
+    g = kn.Grams(ids, counts, 5)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 80 * len(ids) and held < 40 * len(ids)
+    ends = np.cumsum(counts)
+    lines = [[kn.START, kn.START, *ids[e - n : e].tolist(), kn.END] for e, n in zip(ends, counts, strict=True)]
+    places = [(x[i - 2], x[i - 1], x[i]) for x in lines for i in range(2, len(x))]
+    pairs, thirds = g.pairs.tolist(), g.thirds.tolist()
+    of_third = np.repeat(np.arange(len(pairs)), g.lens)
+    for (a, b, c), head, tail, triple in list(zip(places, g.head, g.tail, g.triple, strict=True))[:20_000]:
+        assert (pairs[head] == a << 32 | b) if a and b else head == -1
+        assert (pairs[tail] == b << 32 | c) if b and c else tail == -1
+        assert (pairs[of_third[triple]], thirds[triple]) == (a << 32 | b, c) if a and b and c else triple == -1
+    assert g.times.sum() == sum(1 for t in places if all(t))
+
+
 def test_all_trusted_count(spark):
     """More trusted documents than a former bound of 4,000: each of them is learned from."""
     rows = [(d, "en", f"shared words and w{d} here") for d in range(6_000)]
