@@ -11,7 +11,8 @@ shard.  Rows that move are blocks' (some MB of text), not n-grams:
    before each pair, and from the distinct pairs what follows and precedes each word.
 3. Blocks ask the shards for their distinct known words, pairs and trigrams, each
    once, in the order of the shards' keys; the answers are counts, and a block sums
-   log probabilities per document from them.
+   log probabilities per document from them.  That is done in rounds of a part of
+   the blocks, so that requests and answers of one part lie on disks at a time.
 
 So the most frequent n-gram costs a block one entry.  Words are named by 64-bit
 hashes where they get their ids; from then on keys are exact.  Thresholds are
@@ -24,6 +25,7 @@ import pickle
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workers import map_arrow, ship
-from ._common import stage, stage_by
+from ..workers import map_arrow, map_cogroups, map_groups, ship
+from ._common import Scratch, stage
 from .katz import cut, pair_keys, word_keys
 from .packed import pack, pack_words, unpack, unpack_words
 from .tokens import batch_words, slices
@@ -45,6 +47,8 @@ QUANTILE, SLACK, LEAST_TRUSTED = 0.99, 0.25, 50
 BLOCK_BYTES = 12 << 20
 #: Tokens whose n-grams share a shard.
 SHARD_TOKENS = 2_000_000
+#: Parts in which the blocks ask the model, one after another, and tokens that a part has at least.
+ROUNDS, ROUND_TOKENS = 8, 16_000_000
 
 
 @dataclass
@@ -373,8 +377,8 @@ def hashed(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(word_keys(unpack_words(words)), return_inverse=True)
 
 
-ASK = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("thirds", pa.binary()), ("counts", pa.binary()), ("of_counts", pa.list_(pa.int64())), ("total", pa.int64())])
-ASK_DDL = "kind string, shard int, block long, keys binary, lens binary, thirds binary, counts binary, of_counts array<long>, total long"
+ASK = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("thirds", pa.binary()), ("counts", pa.binary())])
+ASK_DDL = "kind string, shard int, block long, keys binary, lens binary, thirds binary, counts binary"
 
 
 def ask_words(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -387,7 +391,7 @@ def ask_words(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             tokens = unpack(row["tokens"])[np.repeat(used, unpack(row["counts"]).astype(np.int64))]
             counts = np.bincount(which[tokens], minlength=len(keys))
             at = cut(keys, shards)
-            yield from table_of([("word", s, row["block"], pack(keys[i:j], rising=True), None, None, pack(counts[i:j].astype("<u4")), None, 0) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], ASK)
+            yield from table_of([("word", s, row["block"], pack(keys[i:j], rising=True), None, None, pack(counts[i:j].astype("<u4"))) for s, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i], ASK)
 
     return run
 
@@ -429,13 +433,18 @@ def train_grams(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             counts = unpack(row["counts"]).astype(np.int64)
             if used.any():
                 g = Grams(unpack(row["names"])[unpack(row["tokens"])[np.repeat(used, counts)]], counts[used], shards)
-                yield from table_of([("triple", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), pack(g.times[t].astype("<u4")), None, 0) for s, p, t in g.shards()], ASK)
+                yield from table_of([("triple", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), pack(g.times[t].astype("<u4"))) for s, p, t in g.shards()], ASK)
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=ASK.names)
+#: A shard's table, a row each, and what it sends to other shards of the next table.
+TABLE_DDL = "shard int, keys binary, lens binary, thirds binary, counts binary, of_counts array<long>, total long, onward array<struct<shard: int, keys: binary, counts: binary>>"
+
+
+def _table(group: pd.DataFrame, keys: bytes, lens: bytes | None, thirds: bytes | None, counts: bytes, of_counts: list[int], total: int, onward: list[dict]) -> pd.DataFrame:
+    row = (int(group["shard"].iloc[0]), keys, lens, thirds, counts, of_counts, total, onward)
+    return pd.DataFrame([row], columns=["shard", "keys", "lens", "thirds", "counts", "of_counts", "total", "onward"])
 
 
 def _keys(rows: pd.DataFrame, shards: int) -> list[np.ndarray]:
@@ -448,16 +457,16 @@ def _thirds(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lens), np.concatenate([unpack_thirds(x, n) for x, n in zip(rows["thirds"], lens, strict=True)])
 
 
-def _dealt(kind: str, keys: np.ndarray, shards: int, counts: np.ndarray | None = None, block: int = -2) -> list[tuple]:
-    """Rows of keys (in order) and their counts (a column each), one for each shard."""
+def _dealt(keys: np.ndarray, shards: int, counts: np.ndarray | None = None) -> list[dict]:
+    """Keys (in order) and their counts (a row each) by shard."""
     shard = shard_of(keys, shards)
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    return [(kind, int(shard[some[0]]), block, pack_keys(keys[some], shards), None, None, None if counts is None else pack(np.ascontiguousarray(counts[..., some]).ravel()), None, 0) for some in np.split(order, at[1:]) if len(some)]
+    return [{"shard": int(shard[some[0]]), "keys": pack_keys(keys[some], shards), "counts": None if counts is None else pack(np.ascontiguousarray(counts[..., some]).ravel())} for some in np.split(order, at[1:]) if len(some)]
 
 
 def count_triples(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A shard's table of trigrams (block -1), and for each pair how many different words stand before it there (after a start: counts)."""
+    """A shard's table of trigrams, and for each pair how many different words stand before it there (after a start: counts)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lens, thirds = _thirds(group)
@@ -469,8 +478,7 @@ def count_triples(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         tails, tail = np.unique(second << 32 | third, return_inverse=True)
         n2 = np.bincount(tail, np.where(second == START, n3, 1), len(tails)).astype(np.int64)
         lens = np.bincount(head, minlength=len(heads))
-        table = ("triple", int(group["shard"].iloc[0]), -1, pack_keys(heads, shards), pack(lens.astype("<u4")), pack_thirds(third, lens), pack(n3.astype("<u4")), times(n3), 0)
-        return _frame([table, *_dealt("pair", tails, shards, n2)])
+        return _table(group, pack_keys(heads, shards), pack(lens.astype("<u4")), pack_thirds(third, lens), pack(n3.astype("<u4")), times(n3), 0, _dealt(tails, shards, n2))
 
     return run
 
@@ -490,8 +498,7 @@ def count_pairs(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         words, which = np.unique(np.concatenate([pairs >> 32, pairs & LOW]), return_inverse=True)
         first, second = which[: len(pairs)], which[len(pairs) :]
         stats = np.vstack([np.bincount(second, minlength=len(words)), context_stats(n2, first, len(words))])
-        table = ("pair", int(group["shard"].iloc[0]), -1, pack_keys(pairs, shards), None, None, pack(n2), times(n2), 0)
-        return _frame([table, *_dealt("word", words, shards, stats)])
+        return _table(group, pack_keys(pairs, shards), None, None, pack(n2), times(n2), 0, _dealt(words, shards, stats))
 
     return run
 
@@ -501,7 +508,7 @@ def count_words(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         words, stats = _added(group, STATS, shards)
-        return _frame([("word", int(group["shard"].iloc[0]), -1, pack_keys(words, shards), None, None, pack(stats.ravel()), times(stats[0][stats[0] > 0]), int(stats[0].sum()))])
+        return _table(group, pack_keys(words, shards), None, None, pack(stats.ravel()), times(stats[0][stats[0] > 0]), int(stats[0].sum()), [])
 
     return run
 
@@ -513,9 +520,8 @@ def ask_model(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for row in rows_of(batches):
             names = unpack(row["names"]).astype(np.int64)
             g = Grams(names[unpack(row["tokens"])], unpack(row["counts"]).astype(np.int64), shards)
-            out = [("pair", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), None, None, 0) for s, p, t in g.shards()]
-            words = asked_words(names)
-            yield from table_of([*out, *_dealt("word", words, shards, block=row["block"])], ASK)
+            out = [("pair", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), None) for s, p, t in g.shards()]
+            yield from table_of([*out, *(("word", x["shard"], row["block"], x["keys"], None, None, None) for x in _dealt(asked_words(names), shards))], ASK)
 
     return run
 
@@ -529,30 +535,27 @@ def asked_words(names: np.ndarray) -> np.ndarray:
 ANSWER_DDL = "kind string, shard int, block long, stats binary, n3 binary"
 
 
-def answer(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """What a shard's tables know of the words, or of the pairs and trigrams, that blocks ask for."""
+def answer(shards: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What a shard's tables, a row with nulls for those it has not, know of the words, pairs and trigrams that blocks ask for."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks, tables = group[group["block"] >= 0].sort_values("block"), group[group["block"] == -1]
+    def of_kind(kind: str, asks: pd.DataFrame, model: dict) -> list[tuple]:
+        shard = int(asks["shard"].iloc[0])
         keys = _keys(asks, shards)
-        if not keys:
-            return pd.DataFrame([], columns=["kind", "shard", "block", "stats", "n3"])
         wanted = np.concatenate(keys)
-        kind, shard = asks["kind"].iloc[0], int(asks["shard"].iloc[0])
         stats, n3 = np.zeros((STATS, len(wanted)), np.int64), None
-        of = {k: tables[tables["of"] == k] for k in tables["of"]}
         if kind == "word":
-            if "word" in of:
-                at = _found(_keys(of["word"], shards)[0], wanted)
-                stats = _values(unpack(of["word"]["counts"].iloc[0]).reshape(STATS, -1), at)
+            if model["word_keys"] is not None:
+                at = _found(unpack_keys(model["word_keys"], shard, shards), wanted)
+                stats = _values(unpack(model["word_counts"]).reshape(STATS, -1), at)
         else:
             asked_lens, thirds = _thirds(asks)
             n3 = np.zeros(len(thirds), np.int64)
-            if "pair" in of:
-                stats[0] = _values(unpack(of["pair"]["counts"].iloc[0]), _found(_keys(of["pair"], shards)[0], wanted))
-            if "triple" in of:
-                (heads,), (lens, known) = _keys(of["triple"], shards), _thirds(of["triple"])
-                counts, of_head = unpack(of["triple"]["counts"].iloc[0]).astype(np.int64), np.repeat(np.arange(len(lens)), lens)
+            if model["pair_keys"] is not None:
+                stats[0] = _values(unpack(model["pair_counts"]), _found(unpack_keys(model["pair_keys"], shard, shards), wanted))
+            if model["triple_keys"] is not None:
+                heads, lens = unpack_keys(model["triple_keys"], shard, shards), unpack(model["triple_lens"])
+                known = unpack_thirds(model["triple_thirds"], lens)
+                counts, of_head = unpack(model["triple_counts"]).astype(np.int64), np.repeat(np.arange(len(lens)), lens)
                 at = _found(heads, wanted)
                 stats[1:] = _values(context_stats(counts, of_head, len(heads)), at)
                 head = np.repeat(at, asked_lens)
@@ -564,6 +567,10 @@ def answer(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             end = before + len(k)
             out.append((kind, shard, int(block), pack(np.ascontiguousarray(stats[:, before:end]).ravel()), None if n3 is None else pack(n3[third_ends[before] : third_ends[end]].astype("<u4"))))
             before = end
+        return out
+
+    def run(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        out = [x for kind, rows in asks.groupby("kind") for x in of_kind(kind, rows.sort_values("block"), model.iloc[0].to_dict())]
         return pd.DataFrame(out, columns=["kind", "shard", "block", "stats", "n3"])
 
     return run
@@ -571,6 +578,8 @@ def answer(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("log_probability", pa.float64()), ("held", pa.bool_())])
 SCORE_DDL = "doc_id long, lang string, n_tokens long, log_probability double, held boolean"
+#: Places of a block that are evaluated at once.
+PLACES = 1 << 18
 
 
 def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -589,59 +598,78 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
             places = np.append(0, words)
             p1 = np.append(totals.p1(np.zeros(1, np.int64)), totals.p1(word_stats[0]))
             g1 = np.append(1.0, left(word_stats, totals.d2))
-            b, c = np.searchsorted(places, g.b), np.searchsorted(places, g.c)
             pair_stats, answers = stats_of(row, "pair")
-            n3 = np.concatenate([*(unpack(a["n3"]) for a in answers), np.zeros(0, np.uint32)]).astype(np.int64)
-            n2, g2 = np.append(pair_stats[0], 0)[g.tail], np.append(left(pair_stats, totals.d3), 1.0)[g.head]
-            p = g1[b] * p1[c] + (n2 - totals.d2[np.minimum(n2, 3)]) / np.maximum(word_stats[1][b - 1] if len(words) else 0, 1)
-            n = np.append(n3, 0)[g.triple]
-            p = g2 * p + (n - totals.d3[np.minimum(n, 3)]) / np.maximum(np.append(pair_stats[1], 0)[g.head], 1)
+            n3 = np.append(np.concatenate([*(unpack(a["n3"]) for a in answers), np.zeros(0, np.uint32)]).astype(np.int64), 0)
+            n2, follow, g2 = np.append(pair_stats[0], 0), np.append(pair_stats[1], 0), np.append(left(pair_stats, totals.d3), 1.0)
+            del pair_stats, answers
+            log_p = np.empty(len(g.c))
+            for i in range(0, len(log_p), PLACES):
+                at = slice(i, i + PLACES)
+                b, c = np.searchsorted(places, g.b[at]), np.searchsorted(places, g.c[at])
+                n = n2[g.tail[at]]
+                p = g1[b] * p1[c] + (n - totals.d2[np.minimum(n, 3)]) / np.maximum(word_stats[1][b - 1] if len(words) else 0, 1)
+                n, head = n3[g.triple[at]], g.head[at]
+                log_p[at] = np.log(g2[head] * p + (n - totals.d3[np.minimum(n, 3)]) / np.maximum(follow[head], 1))
             trusted, used = in_training(row)
-            out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(np.repeat(np.arange(len(counts)), counts + 1), np.log(p), len(counts)), trusted & ~used]
+            out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(np.repeat(np.arange(len(counts)), counts + 1), log_p, len(counts)), trusted & ~used]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SCORE, strict=True)], schema=SCORE)
 
     return run
 
 
-def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS, round_tokens: int = ROUND_TOKENS) -> DataFrame:
     """doc_id, lang, n_tokens (words and the end), log_probability (natural), held (trusted, and not trained on) of each document.
 
     The model is trained on all documents whose ids ``trusted`` has (each once),
-    but for one in HELD_OUT of them by crc32 of the id.
+    but for one in HELD_OUT of them by crc32 of the id.  The result is staged; all
+    else that was staged or shuffled for it is gone when this returns.
     """
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     many = max(2, own.rdd.getNumPartitions())
-    blocks = stage_by(map_arrow(own, to_blocks(block_bytes), BLOCK_DDL), "block", many)
-    shards = max(2, -(-blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // shard_tokens))
-    ids = map_arrow(blocks.select("block", "ids"), placed, "doc_id long, block long, place int")
-    good = stage(ids.join(trusted.select("doc_id"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted")))
-
-    def by_shard(df: DataFrame, keys: list[str] = ["shard"]):  # noqa: B006
-        return df.repartition(len(keys) * shards, *keys).groupBy(*keys)
-
-    # Words get ids.
-    asks = map_arrow(blocks.join(good, "block", "left"), ask_words(shards), ASK_DDL)
-    names = by_shard(asks.select("shard", "block", "keys", "counts")).applyInPandas(named(shards), "shard int, block long, ids binary")
-    answers = names.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
-    met = blocks.select("block", "words").join(answers.hint("shuffle_hash"), "block", "left").join(good, "block", "left")
-    ided = stage_by(map_arrow(met, name_words, "block long, names binary, trusted array<int>"), "block", many)
-    texts = blocks.select("block", "ids", "langs", "counts", "tokens").join(ided.hint("shuffle_hash"), "block")
-    # The model: trigrams, pairs by what stands before them, words by what pairs end in them.
-    triples = stage(by_shard(map_arrow(texts, train_grams(shards), ASK_DDL)).applyInPandas(count_triples(shards), ASK_DDL))
-    pairs = stage(by_shard(triples.where("kind = 'pair'")).applyInPandas(count_pairs(shards), ASK_DDL))
-    words = stage(by_shard(pairs.where("kind = 'word'")).applyInPandas(count_words(shards), ASK_DDL))
-    tables = [t.where(f"block = -1 and kind = '{k}'").withColumn("of", F.lit(k)) for k, t in (("triple", triples), ("pair", pairs), ("word", words))]
-    model = tables[0].unionByName(tables[1]).unionByName(tables[2])
-    sums = model.groupBy("of").agg(F.array(*[F.sum(F.get("of_counts", F.lit(i))) for i in range(6)]).alias("of_counts"), F.sum("total").alias("total")).collect()  # three rows
-    totals = Totals.of({r.of: list(r.of_counts) for r in sums}, sum(r.total for r in sums))
-    # The blocks ask for what they have.
-    asks = map_arrow(texts, ask_model(shards), ASK_DDL).withColumn("of", F.lit(None).cast("string"))
-    both = asks.unionByName(model.withColumn("kind", F.when(F.col("of") == "word", "word").otherwise("pair"))).drop("of_counts", "total")
-    told = by_shard(both, ["kind", "shard"]).applyInPandas(answer(shards), ANSWER_DDL)
-    answers = told.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "stats", "n3")).alias("answers"))
-    return map_arrow(texts.join(answers.hint("shuffle_hash"), "block"), evaluated(totals, shards), SCORE_DDL)
+    with Scratch(spark) as scratch:
+        blocks = scratch.stage_by(map_arrow(own, to_blocks(block_bytes), BLOCK_DDL), "block", many)
+        tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        shards = max(2, -(-tokens // shard_tokens))
+        ids = map_arrow(blocks.select("block", "ids"), placed, "doc_id long, block long, place int")
+        good = scratch.stage(ids.join(trusted.select("doc_id"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted")))
+
+        def by_shard(df: DataFrame):
+            return df.repartition(shards, "shard").groupBy("shard")
+
+        # Words get ids.
+        asks = map_arrow(blocks.join(good, "block", "left"), ask_words(shards), ASK_DDL)
+        names = map_groups(by_shard(asks.select("shard", "block", "keys", "counts")), named(shards), "shard int, block long, ids binary")
+        answers = names.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
+        met = blocks.select("block", "words").join(answers.hint("shuffle_hash"), "block", "left").join(good, "block", "left")
+        ided = scratch.stage_by(map_arrow(met, name_words, "block long, names binary, trusted array<int>"), "block", many)
+        texts = blocks.select("block", "ids", "langs", "counts", "tokens").join(ided.hint("shuffle_hash"), "block")
+        # The model: trigrams, pairs by what stands before them, words by what pairs end in them.
+        triples = scratch.stage_by(map_groups(by_shard(map_arrow(texts, train_grams(shards), ASK_DDL)), count_triples(shards), TABLE_DDL), "shard", shards)
+        pairs = scratch.stage_by(map_groups(by_shard(triples.select(F.inline("onward"))), count_pairs(shards), TABLE_DDL), "shard", shards)
+        words = scratch.stage_by(map_groups(by_shard(pairs.select(F.inline("onward"))), count_words(shards), TABLE_DDL), "shard", shards)
+        tables = {"triple": triples, "pair": pairs, "word": words}
+        sums = {}
+        for kind, table in tables.items():
+            sums[kind] = table.agg(F.array(*[F.sum(F.get("of_counts", F.lit(i))) for i in range(6)]).alias("of_counts"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+        totals = Totals.of({kind: [x or 0 for x in r.of_counts] for kind, r in sums.items()}, sums["word"].total)
+        # A row for each shard; the tables lie in buckets by shard and are not moved.
+        model = spark.range(shards).select(F.col("id").cast("int").alias("shard")).repartition(shards, "shard")
+        for kind, table in tables.items():
+            used = ["keys", "lens", "thirds", "counts"] if kind == "triple" else ["keys", "counts"]
+            model = model.join(table.select("shard", *[F.col(c).alias(f"{kind}_{c}") for c in used]).hint("shuffle_hash"), "shard", "left")
+        # The blocks ask for what they have, a part of them at a time: what a part moves is gone before the next.
+        rounds = max(1, min(ROUNDS, tokens // round_tokens))
+        dealt = F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1)  # partition and number: parts are alike
+        parts = []
+        for k in range(rounds):
+            some = texts.where(F.pmod(dealt, F.lit(rounds)) == k)
+            asks = map_arrow(some, ask_model(shards), ASK_DDL)
+            told = map_cogroups(by_shard(asks.drop("counts")), model.groupBy("shard"), answer(shards), ANSWER_DDL)
+            answers = told.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "stats", "n3")).alias("answers"))
+            parts.append(stage(map_arrow(some.join(answers.hint("shuffle_hash"), "block"), evaluated(totals, shards), SCORE_DDL)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -660,7 +688,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     own = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull())
     trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    scores = stage(scored(own, trusted, block_bytes, shard_tokens))
+    scores = scored(own, trusted, block_bytes, shard_tokens)
     scores = scores.withColumn("level", -F.col("log_probability") / F.col("n_tokens"))
     held = scores.where("held and n_tokens > 1")
     # A histogram in steps of a thousandth: as many rows as levels, whatever the input, and the same in every run.

@@ -1,6 +1,7 @@
 """Modified Kneser-Ney: normalisation, a plain evaluation, the classifier's decisions."""
 
 import math
+import os
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +90,27 @@ def test_sharded(spark):
         assert got[d].n_tokens == k + 1 and math.isclose(got[d].log_probability, w, rel_tol=1e-5)
 
 
+def test_rounds(spark):
+    """Blocks that ask in rounds get the same; what was staged on the way is gone, and only the scores are left in the shared folder."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3, "doc_id")
+    trusted = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    shared, freed = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = set(os.listdir(shared)), spark.conf.get(freed, None)
+    got = kn.scored(docs, trusted, block_bytes=60_000, shard_tokens=100_000, round_tokens=20_000)
+    left = set(os.listdir(shared)) - before
+    assert 1 < len(left) <= kn.ROUNDS and len(left) == len({f.rsplit("/", 2)[1] for f in got.inputFiles()})
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tensorloom_")]
+    assert spark.conf.get(freed, None) == setting
+    one = kn.scored(docs, trusted)
+    assert len(set(os.listdir(shared)) - before - left) == 1
+    want = {r.doc_id: r for r in one.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) == docs.count()
+    for r in rows:
+        w = want[r.doc_id]
+        assert (r.lang, r.n_tokens, r.held) == (w.lang, w.n_tokens, w.held) and math.isclose(r.log_probability, w.log_probability, rel_tol=1e-9)
+
+
 def test_grams_memory():
     """A block's trigrams take at most 80 bytes a token on the way and 40 when done, so that two blocks fit beside an executor's heap."""
     rng = np.random.default_rng(5)
