@@ -27,6 +27,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,58 +68,122 @@ def token_bytes(path: str) -> np.ndarray:
     return out
 
 
+def laid_out(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an array of large strings without nulls, one after another, and their bounds."""
+    bounds = np.frombuffer(values.buffers()[1] or bytes(8), np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
+
+
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (n[0] numbers), and so on for the others."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(n.sum())
+
+
+def _bytes(*spans: tuple[str, str]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, b in spans:
+        out[ord(a) : ord(b) + 1] = True
+    return out
+
+
+LETTER, MARK, PRINTED = _bytes(("A", "Z"), ("a", "z")), _bytes(("!", "/"), (":", "@"), ("[", "`"), ("{", "~")), _bytes(("!", "~"))
+
+
+def parted(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts of large strings without nulls, one string's after another's, and how many each has.
+
+    Cuts stand where the tokenizer's expression ends a match whatever stands around:
+    between a letter and an ASCII mark or line end after it, and between such a mark
+    (not ', which may begin a contraction) or a line end without white space before
+    it and a letter.  Letters are those up to U+024F, which no version of Unicode
+    sees otherwise; others stay with what stands beside them.
+    """
+    data, bounds = laid_out(values)
+    plain, mark, line = LETTER[data], MARK[data], data == 10
+    lead, trail = data[:-1], data[1:]
+    wide = (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((trail == 0x97) | (trail == 0xB7))) & ~((lead == 0xC9) & (trail > 0x8F))  # but the signs for times and divided
+    begins, ends = plain.copy(), plain.copy()
+    begins[:-1] |= wide
+    ends[1:] |= wide
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        cut[1:-1] = ends[:-1] & (mark | line)[1:] | (mark & (data != 39))[:-1] & begins[1:]
+        cut[2:-1] |= PRINTED[data[:-2]] & line[1:-1] & begins[2:]
+    cut[bounds] = True
+    at = np.flatnonzero(cut)
+    counts = np.searchsorted(at, bounds[1:]) - np.searchsorted(at, bounds[:-1])
+    if not counts.all():  # an empty string is one part
+        at = np.sort(np.concatenate([at, bounds[1:][counts == 0]]))
+        counts = np.maximum(counts, 1)
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]), counts
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer that splits before each single space.
 
     Such a tokenizer never joins what stands before ' x' with it (x and the
     character before the space not being white space), so a text is the sequence
-    of its pieces, and a piece has the same ids wherever it stands.  The distinct
-    pieces of a batch are encoded together, as one long text, and told apart by
-    the bytes of their ids.  Texts where white space meets a space are encoded
-    whole.
+    of its pieces, and a piece has the same ids wherever it stands; so have its
+    parts, the word and the marks beside it.  The distinct parts that are not
+    known yet are encoded together, as one long text, and told apart by the bytes
+    of their ids.  Texts where white space meets a space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 3 << 17, together: int = 1024) -> None:
-        """most: pieces kept with their ids from batch to batch, some 60 bytes each; then those are forgotten that few batches had."""
+    def __init__(self, path: str, most: int = 3 << 18, together: int = 1024) -> None:
+        """most: parts kept with their ids from batch to batch, some 200 bytes each; then those are forgotten that few batches had."""
         self.tokenizer, self.bytes, self.most, self.together = load_tokenizer(path), token_bytes(path), most, together
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.pool, self.begin, self.n, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        """Keeps the half of the allowed pieces that most batches had, of those that two had at least."""
+        """Keeps the half of the allowed parts that most batches had, of those that two had at least."""
         kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
         kept = kept[self.hits[kept] > 1]
         n = self.n[kept]
-        ends = np.cumsum(n)
-        self.pool = self.pool[np.repeat(self.begin[kept] - (ends - n), n) + np.arange(n.sum())]
-        self.known, self.begin, self.n, self.hits = self.known.take(pa.array(kept)), ends - n, n, self.hits[kept] // 2
+        self.pool = self.pool[ranges(self.begin[kept], n)]
+        names = np.array(list(self.known), object)[kept].tolist()
+        self.known, self.begin, self.n, self.hits = dict(zip(names, range(len(names)), strict=True)), np.cumsum(n) - n, n, self.hits[kept] // 2
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for i in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
 
-    def pieces(self, values: pa.Array) -> np.ndarray:
-        """Where among the known pieces each of these distinct ones stands; new ones are encoded and added."""
+    def pieces(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each of these pieces begins and how many it has."""
+        parts, counts = parted(values)
+        coded = parts.dictionary_encode()
+        at = self.parts(coded.dictionary)[coded.indices.to_numpy()]
+        each, upto = self.n[at], np.cumsum(counts)
+        ends = np.concatenate([[0], np.cumsum(each)])
+        begin = ends[upto - counts]
+        return self.pool[ranges(self.begin[at], each)], begin, ends[upto] - begin
+
+    def parts(self, values: pa.Array) -> np.ndarray:
+        """Where among the known parts each of these distinct ones stands; new ones are encoded and added."""
         if len(self.known) + len(values) > self.most:
             self.forget()
-        found = pc.index_in(values, self.known)
-        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
-        if found.null_count:
-            new = values.filter(found.is_null())
-            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
-            pool, begin, n = self.encoded(new)
+        names = values.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            pool, begin, n = self.encoded(values.take(pa.array(new)))
             self.begin = np.concatenate([self.begin, begin + len(self.pool)])
             self.pool, self.n, self.hits = np.concatenate([self.pool, pool]), np.concatenate([self.n, n]), np.concatenate([self.hits, np.zeros(len(new), np.int32)])
-            self.known = pa.concat_arrays([self.known, new])
+            self.known.update(zip(names[new].tolist(), at[new].tolist(), strict=True))
         self.hits[at] += 1
         return at
 
     def encoded(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and where in it each distinct piece begins and how many it has."""
+        """A pool of ids, and where in it each distinct part begins and how many it has."""
         alone = pc.or_(pc.invert(pc.starts_with(values, " ")), pc.match_substring_regex(values, f"{BLANK}$")).to_numpy(zero_copy_only=False)
         sizes = pc.binary_length(values).to_numpy().astype(np.int64)
         joined, single = np.flatnonzero(~alone), np.flatnonzero(alone)
         groups = [joined[i : i + self.together] for i in range(0, len(joined), self.together)]
-        found = self.each(["".join(values.take(pa.array(g)).to_pylist()) for g in groups]) + self.each(values.take(pa.array(single)).to_pylist())
+        data, bounds = laid_out(values.take(pa.array(joined)))
+        long = [data[bounds[i] : bounds[min(i + self.together, len(joined))]].tobytes().decode() for i in range(0, len(joined), self.together)]
+        found = self.each(long) + self.each(values.take(pa.array(single)).to_pylist())
         n = np.zeros(len(values), np.int64)
         for at, ids in zip(groups, found, strict=False):
             ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes[at])) + 1
@@ -146,11 +211,10 @@ class Encoder:
             first = np.zeros(len(flat), dtype=bool)
             first[np.cumsum(lengths) - lengths] = True
             coded = pc.binary_join_element_wise(pc.if_else(pa.array(first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())), flat, pa.scalar("", pa.large_string())).dictionary_encode()
-            index = self.pieces(coded.dictionary)[coded.indices.to_numpy()]
-            n = self.n[index]
-            ends = np.cumsum(n)
-            out = self.pool[np.repeat(self.begin[index] - (ends - n), n) + np.arange(ends[-1])]
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+            index = coded.indices.to_numpy()
+            pool, begin, n = self.pieces(coded.dictionary)
+            out = pool[ranges(begin[index], n[index])]
+            bounds = np.concatenate([[0], np.cumsum(n[index])])[np.concatenate([[0], np.cumsum(lengths)])]
             for k, i in enumerate(plain):
                 each[i] = out[bounds[k] : bounds[k + 1]]
         chosen = [each[i] for i in distinct.indices.to_numpy()]
@@ -159,7 +223,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
-    """One for each Python worker, whose known pieces serve task after task."""
+    """One for each Python worker, whose known parts serve task after task."""
     return Encoder(path)
 
 

@@ -26,6 +26,33 @@ def test_encoder(documents):
         assert all([*p.tolist(), ts.END_ID] == want(t) for p, t in zip(parts, texts, strict=True))
 
 
+def test_parts():
+    """Words, line ends, contractions, digits and characters that may or may not be letters, in any order."""
+    rng = np.random.default_rng(2)
+    some = [*"aZéÀɏŉ×÷ªɐ7٣'’.,-_~|!<$", "'s", "'re", "\n", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", " ", "\u0301", "\u200b", "本", "🙂", "\x00"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 12))) for _ in range(3000)]
+    values = pa.array(texts, pa.large_string())
+    parts, counts = ts.parted(values.slice(7))
+    assert ["".join(p) for p in np.split(np.array(parts.to_pylist(), object), np.cumsum(counts)[:-1])] == texts[7:]
+    assert ts.parted(pa.array([" day.\nDon't", "", " x1,!Ü", "\n\nA"], pa.large_string()))[0].to_pylist() == [" day", ".\n", "Don", "'t", "", " x1,!", "Ü", "\n\nA"]
+    for most in (1 << 18, 90):
+        ids, n = ts.Encoder(PATH, most=most, together=7).encode(values)
+        assert all([*p.tolist(), ts.END_ID] == want(t) for p, t in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True))
+
+
+def test_words_once():
+    """A word is encoded once, whatever marks stand beside it."""
+    encoder, given = ts.Encoder(PATH), []
+    each = encoder.each
+    encoder.each = lambda texts: given.extend(texts) or each(texts)
+    words = ["w" + "".join(c) for c in np.random.default_rng(3).choice(list("abcdeé"), (200, 9))]
+    for marks in (".", ",", "!!", ".\nOnce", " --"):
+        text = "".join(f" {w}{marks}" for w in words)[1:]
+        ids, _ = encoder.encode(pa.array([text]))
+        assert [*ids.tolist(), ts.END_ID] == want(text)
+    assert sum(map(len, given)) < 1.1 * sum(len(w) + 1 for w in words)
+
+
 def test_cuts():
     rng = np.random.default_rng(0)
     same = rng.integers(0, 50_000, 6000)
