@@ -240,13 +240,45 @@ def times(counts: np.ndarray) -> list[int]:
 LOW = 0xFFFFFFFF
 
 
+def remainder(values: np.ndarray, n: int) -> np.ndarray:
+    """values % n for values from 0 on; numpy's division by one number is several times as fast as its remainder."""
+    return values - values // values.dtype.type(n) * values.dtype.type(n)
+
+
+def distinct(codes: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes in order, which of them each one is, and how often each comes; codes are from 0 to below ``bound``, and are overwritten.
+
+    Where a code and its place fit into one number these are sorted, which takes a fifth of what sorting places by their codes takes.
+    """
+    bits = len(codes).bit_length()
+    if bound.bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True, return_counts=True)
+    codes <<= bits
+    codes |= np.arange(len(codes))
+    codes.sort()
+    place = codes & ((1 << bits) - 1)
+    codes >>= bits
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    which = np.empty(len(codes), np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - 1
+    del place
+    at = np.flatnonzero(new)
+    return codes[at], which, np.diff(at, append=len(codes))
+
+
+def by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Places in the order of their shards, and in their own order within each; of 16-bit numbers numpy sorts the digits."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+
+
 def turned(first: np.ndarray, shards: int) -> np.ndarray:
-    return ((pair_keys(first.astype(np.uint64), np.uint64(7)) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    return remainder(pair_keys(first.astype(np.uint64), np.uint64(7)) >> np.uint64(32), shards).astype(np.int64)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Pairs of ids, (first << 32 | second), are dealt out by the second, each first word beginning at another shard.  A word is a pair without a first."""
-    return (turned(keys >> 32, shards) + (keys & LOW)) % shards
+    return remainder(turned(keys >> 32, shards) + (keys & LOW), shards)
 
 
 def pack_keys(keys: np.ndarray, shards: int) -> bytes:
@@ -257,7 +289,7 @@ def pack_keys(keys: np.ndarray, shards: int) -> bytes:
 def unpack_keys(data: bytes, shard: int, shards: int) -> np.ndarray:
     keys = unpack(data, rising=True)
     first = keys >> 32
-    return first << 32 | (keys & LOW) * shards + (shard - turned(first, shards)) % shards
+    return first << 32 | (keys & LOW) * shards + remainder(shard + shards - turned(first, shards), shards)
 
 
 def pack_thirds(thirds: np.ndarray, lens: np.ndarray) -> bytes:
@@ -281,9 +313,11 @@ class Grams:
     Asked are pairs of known words, by shard and id (``pairs``, and ``bounds`` of
     the shards), and for each of them the known third words (``lens`` of the pairs,
     ``thirds``).  ``head``, ``tail`` and ``triple`` name what each place asked, or are -1.
+    Words may be given, and ``b`` and ``c`` are then, as positions in ``places``, the
+    unknown word and what ``asked_words`` gives: these are small, and in the ids' order.
     """
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, shards: int) -> None:
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, shards: int, places: np.ndarray | None = None) -> None:
         ends = np.cumsum(counts + 3)
         line = np.full(int(ends[-1]) if len(ends) else 0, START, np.int32)
         begin = ends - (counts + 3)
@@ -299,24 +333,30 @@ class Grams:
         known[begin] = False
         ends_pair = np.flatnonzero(known).astype(np.int32)
         del inside, known
-        pairs, which = np.unique(line[ends_pair - 1].astype(np.int64) << 32 | line[ends_pair], return_inverse=True)
+        top = int(line.max(initial=END)) + 1
+        pairs, which, _ = distinct(line[ends_pair - 1].astype(np.int64) * top + line[ends_pair], top * top)
+        first = pairs // top
+        second = pairs - first * top
+        pairs = first << 32 | second if places is None else places[first] << 32 | places[second]
         shard = shard_of(pairs, shards)
-        order = np.argsort(shard, kind="stable")
+        order = by_shard(shard, shards)
         self.pairs = pairs[order]
         self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         pair_at = np.full(len(line), -1, np.int32)
         pair_at[ends_pair] = place[which]
-        del line, ends_pair, pairs, which, shard, order, place
+        del line, ends_pair, pairs, first, second, which, shard, order, place
         self.head, self.tail = pair_at[at - 1], pair_at[at]
         del pair_at, at
         self.triple = np.full(len(self.c), -1, np.int32)
         abc = np.flatnonzero((self.head >= 0) & (self.tail >= 0)).astype(np.int32)
-        codes, which, self.times = np.unique(self.head[abc].astype(np.int64) << 32 | self.c[abc], return_inverse=True, return_counts=True)
+        codes, which, self.times = distinct(self.head[abc].astype(np.int64) * top + self.c[abc], max(len(self.pairs), 1) * top)
         self.triple[abc] = which
         del abc, which
-        self.lens, self.thirds = np.bincount(codes >> 32, minlength=len(self.pairs)), codes & LOW
+        self.of_third = (codes // top).astype(np.int32)
+        thirds = codes - self.of_third * np.int64(top)
+        self.lens, self.thirds = np.bincount(self.of_third, minlength=len(self.pairs)), thirds if places is None else places[thirds]
         self.third_bounds = np.concatenate([[0], np.cumsum(self.lens)])[self.bounds]
 
     def shards(self) -> Iterator[tuple[int, slice, slice]]:
@@ -432,7 +472,8 @@ def train_grams(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             _, used = in_training(row)
             counts = unpack(row["counts"]).astype(np.int64)
             if used.any():
-                g = Grams(unpack(row["names"])[unpack(row["tokens"])[np.repeat(used, counts)]], counts[used], shards)
+                places, at = ranked(unpack(row["names"]))
+                g = Grams(at[unpack(row["tokens"])[np.repeat(used, counts)]], counts[used], shards, places)
                 yield from table_of([("triple", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), pack(g.times[t].astype("<u4"))) for s, p, t in g.shards()], ASK)
 
     return run
@@ -460,7 +501,7 @@ def _thirds(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _dealt(keys: np.ndarray, shards: int, counts: np.ndarray | None = None) -> list[dict]:
     """Keys (in order) and their counts (a row each) by shard."""
     shard = shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
+    order = by_shard(shard, shards)
     at = np.flatnonzero(np.diff(shard[order], prepend=-1))
     return [{"shard": int(shard[some[0]]), "keys": pack_keys(keys[some], shards), "counts": None if counts is None else pack(np.ascontiguousarray(counts[..., some]).ravel())} for some in np.split(order, at[1:]) if len(some)]
 
@@ -518,18 +559,24 @@ def ask_model(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            names = unpack(row["names"]).astype(np.int64)
-            g = Grams(names[unpack(row["tokens"])], unpack(row["counts"]).astype(np.int64), shards)
+            places, at = ranked(unpack(row["names"]))
+            g = Grams(at[unpack(row["tokens"])], unpack(row["counts"]).astype(np.int64), shards, places)
             out = [("pair", s, row["block"], pack_keys(g.pairs[p], shards), pack(g.lens[p].astype("<u4")), pack_thirds(g.thirds[t], g.lens[p]), None) for s, p, t in g.shards()]
-            yield from table_of([*out, *(("word", x["shard"], row["block"], x["keys"], None, None, None) for x in _dealt(asked_words(names), shards))], ASK)
+            yield from table_of([*out, *(("word", x["shard"], row["block"], x["keys"], None, None, None) for x in _dealt(places[1:], shards))], ASK)
 
     return run
 
 
 def asked_words(names: np.ndarray) -> np.ndarray:
     """A block's known words, with the start and the end."""
-    known = np.unique(np.concatenate([names, [START, END]]))
-    return known[known != UNKNOWN]
+    known = np.sort(np.concatenate([names.astype(np.int64), [START, END]]))
+    return known[(known != UNKNOWN) & (np.diff(known, prepend=UNKNOWN) != 0)]
+
+
+def ranked(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unknown word and a block's known words in order, and where in these each of its names is."""
+    places = np.append(UNKNOWN, asked_words(names))
+    return places, np.searchsorted(places, names.astype(np.int64)).astype(np.int32)
 
 
 ANSWER_DDL = "kind string, shard int, block long, stats binary, n3 binary"
@@ -589,27 +636,28 @@ def evaluated(totals: Totals, shards: int) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            names, counts = unpack(row["names"]).astype(np.int64), unpack(row["counts"]).astype(np.int64)
-            g = Grams(names[unpack(row["tokens"])], counts, shards)
-            words = asked_words(names)
+            counts = unpack(row["counts"]).astype(np.int64)
+            places, at = ranked(unpack(row["names"]))
+            g = Grams(at[unpack(row["tokens"])], counts, shards, places)
+            words = places[1:]
             word_stats = np.zeros((STATS, len(words)), np.int64)
-            word_stats[:, np.argsort(shard_of(words, shards), kind="stable")] = stats_of(row, "word")[0]
+            word_stats[:, by_shard(shard_of(words, shards), shards)] = stats_of(row, "word")[0]
             # An unknown word stands in front of the known: nothing is counted of it.
-            places = np.append(0, words)
             p1 = np.append(totals.p1(np.zeros(1, np.int64)), totals.p1(word_stats[0]))
             g1 = np.append(1.0, left(word_stats, totals.d2))
             pair_stats, answers = stats_of(row, "pair")
-            n3 = np.append(np.concatenate([*(unpack(a["n3"]) for a in answers), np.zeros(0, np.uint32)]).astype(np.int64), 0)
-            n2, follow, g2 = np.append(pair_stats[0], 0), np.append(pair_stats[1], 0), np.append(left(pair_stats, totals.d3), 1.0)
+            n2, n3 = pair_stats[0], np.concatenate([*(unpack(a["n3"]) for a in answers), np.zeros(0, np.uint32)])
+            g2 = np.append(left(pair_stats, totals.d3), 1.0)
+            del g.lens, g.thirds, g.times  # only what asks needs them
+            # What each pair and trigram has of its own, once; nothing where it was not asked.
+            own2 = np.append((n2 - totals.d2[np.minimum(n2, 3)]) / np.maximum(word_stats[1][np.searchsorted(words, g.pairs >> 32)], 1), 0.0)
+            own3 = np.append((n3 - totals.d3[np.minimum(n3, 3)]) / np.maximum(pair_stats[1], 1)[g.of_third], 0.0)
             del pair_stats, answers
             log_p = np.empty(len(g.c))
             for i in range(0, len(log_p), PLACES):
                 at = slice(i, i + PLACES)
-                b, c = np.searchsorted(places, g.b[at]), np.searchsorted(places, g.c[at])
-                n = n2[g.tail[at]]
-                p = g1[b] * p1[c] + (n - totals.d2[np.minimum(n, 3)]) / np.maximum(word_stats[1][b - 1] if len(words) else 0, 1)
-                n, head = n3[g.triple[at]], g.head[at]
-                log_p[at] = np.log(g2[head] * p + (n - totals.d3[np.minimum(n, 3)]) / np.maximum(follow[head], 1))
+                b, c = g.b[at], g.c[at]
+                log_p[at] = np.log(g2[g.head[at]] * (g1[b] * p1[c] + own2[g.tail[at]]) + own3[g.triple[at]])
             trusted, used = in_training(row)
             out = [unpack(row["ids"]), row["langs"], counts + 1, np.bincount(np.repeat(np.arange(len(counts)), counts + 1), log_p, len(counts)), trusted & ~used]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SCORE, strict=True)], schema=SCORE)
@@ -635,20 +683,20 @@ def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES,
         ids = map_arrow(blocks.select("block", "ids"), placed, "doc_id long, block long, place int")
         good = scratch.stage(ids.join(trusted.select("doc_id"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted")))
 
-        def by_shard(df: DataFrame):
+        def grouped(df: DataFrame):
             return df.repartition(shards, "shard").groupBy("shard")
 
         # Words get ids.
         asks = map_arrow(blocks.join(good, "block", "left"), ask_words(shards), ASK_DDL)
-        names = map_groups(by_shard(asks.select("shard", "block", "keys", "counts")), named(shards), "shard int, block long, ids binary")
+        names = map_groups(grouped(asks.select("shard", "block", "keys", "counts")), named(shards), "shard int, block long, ids binary")
         answers = names.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "ids")).alias("answers"))
         met = blocks.select("block", "words").join(answers.hint("shuffle_hash"), "block", "left").join(good, "block", "left")
         ided = scratch.stage_by(map_arrow(met, name_words, "block long, names binary, trusted array<int>"), "block", many)
         texts = blocks.select("block", "ids", "langs", "counts", "tokens").join(ided.hint("shuffle_hash"), "block")
         # The model: trigrams, pairs by what stands before them, words by what pairs end in them.
-        triples = scratch.stage_by(map_groups(by_shard(map_arrow(texts, train_grams(shards), ASK_DDL)), count_triples(shards), TABLE_DDL), "shard", shards)
-        pairs = scratch.stage_by(map_groups(by_shard(triples.select(F.inline("onward"))), count_pairs(shards), TABLE_DDL), "shard", shards)
-        words = scratch.stage_by(map_groups(by_shard(pairs.select(F.inline("onward"))), count_words(shards), TABLE_DDL), "shard", shards)
+        triples = scratch.stage_by(map_groups(grouped(map_arrow(texts, train_grams(shards), ASK_DDL)), count_triples(shards), TABLE_DDL), "shard", shards)
+        pairs = scratch.stage_by(map_groups(grouped(triples.select(F.inline("onward"))), count_pairs(shards), TABLE_DDL), "shard", shards)
+        words = scratch.stage_by(map_groups(grouped(pairs.select(F.inline("onward"))), count_words(shards), TABLE_DDL), "shard", shards)
         tables = {"triple": triples, "pair": pairs, "word": words}
         sums = {}
         for kind, table in tables.items():
@@ -666,7 +714,7 @@ def scored(docs: DataFrame, trusted: DataFrame, block_bytes: int = BLOCK_BYTES,
         for k in range(rounds):
             some = texts.where(F.pmod(dealt, F.lit(rounds)) == k)
             asks = map_arrow(some, ask_model(shards), ASK_DDL)
-            told = map_cogroups(by_shard(asks.drop("counts")), model.groupBy("shard"), answer(shards), ANSWER_DDL)
+            told = map_cogroups(grouped(asks.drop("counts")), model.groupBy("shard"), answer(shards), ANSWER_DDL)
             answers = told.repartition(many, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "stats", "n3")).alias("answers"))
             parts.append(stage(map_arrow(some.join(answers.hint("shuffle_hash"), "block"), evaluated(totals, shards), SCORE_DDL)))
     return reduce(DataFrame.unionByName, parts)

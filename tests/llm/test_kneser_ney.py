@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.llm import kneser_ney as kn
+from tensorloom.llm.packed import pack, pack_words, unpack, unpack_words
 
 from .conftest import SF
 
@@ -134,6 +136,47 @@ def test_grams_memory():
     assert g.times.sum() == sum(1 for t in places if all(t))
 
 
+def test_grams_cost():
+    """A block's trigrams cost less than sorting the places of its pairs one and a half times, and its words are packed without a Python string each."""
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            begun = time.process_time()
+            f()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    rng = np.random.default_rng(7)
+    ids = np.minimum(rng.zipf(1.2, 1_000_000), 150_000) + 2
+    counts = np.full(2_000, 500)
+    pairs = ids[:-1] << 32 | ids[1:]
+    assert least(lambda: kn.Grams(ids, counts, 60)) < 1.5 * least(lambda: np.unique(pairs, return_inverse=True, return_counts=True))
+    words = pa.array([f"w{i}" for i in range(200_000)], pa.large_string())
+    assert least(lambda: pack_words(words)) < least(words.to_pylist)
+
+
+def test_same_as_plain():
+    """Distinct codes, packed words and numbers, and trigrams of words by position, are what the plain ways give."""
+    rng = np.random.default_rng(3)
+    for n, bound in ((0, 1), (1, 1), (5_000, 40), (5_000, 1 << 49), (5_000, 1 << 61)):
+        codes = rng.integers(0, bound, n)
+        for got, want in zip(kn.distinct(codes.copy(), bound), np.unique(codes, return_inverse=True, return_counts=True), strict=True):
+            assert got.tolist() == want.tolist()
+    for words in ([], ["a"], ["é", "a\x00b", "x"]):
+        for array in (pa.array(words, pa.large_string()), pa.array(["first", *words]).slice(1)):
+            assert unpack_words(pack_words(array)) == words
+    for values in (np.zeros(0, np.int64), np.array([-1, 0, 1 << 62]), np.array([0, 300, 7], np.uint32), np.array([0.5, -2.0])):
+        assert unpack(pack(values)).tolist() == values.tolist() and unpack(pack(values)).dtype == values.dtype
+    names = np.array([kn.UNKNOWN, 900, 3, (1 << 31) - 1, 17, 17], np.uint32)
+    tokens, counts = rng.integers(0, len(names), 600), np.array([0, 100, 1, 499])
+    places, at = kn.ranked(names)
+    a, b = kn.Grams(names.astype(np.int64)[tokens], counts, 3), kn.Grams(at[tokens], counts, 3, places)
+    for k in ("pairs", "bounds", "lens", "thirds", "times", "third_bounds", "head", "tail", "triple", "of_third"):
+        assert getattr(a, k).tolist() == getattr(b, k).tolist(), k
+    assert places[b.b].tolist() == a.b.tolist() and places[b.c].tolist() == a.c.tolist()
+
+
 def test_all_trusted_count(spark):
     """More trusted documents than a former bound of 4,000: each of them is learned from."""
     rows = [(d, "en", f"shared words and w{d} here") for d in range(6_000)]
